@@ -71,18 +71,22 @@ def exact_quantiles(
     keys = [*by, "q"]
     # without groups the band table has len(qs) rows: a proven bound, so broadcast
     joined = base.join(bands, by, "inner") if by else base.crossJoin(F.broadcast(bands))
-    below = joined.groupBy(*keys).agg(
-        F.sum((F.col("__v") < F.col("lo")).cast("long")).alias("__below")
-    )
+    v, lo, hi = F.col("__v"), F.col("lo"), F.col("hi")
+    # per band: rank offset, band size, and the nearest values just outside it
+    stats = joined.groupBy(*keys).agg(
+        F.sum((v < lo).cast("long")).alias("__below"),
+        F.sum(((v >= lo) & (v <= hi)).cast("long")).alias("__inband"),
+        F.max(F.when(v < lo, v)).alias("__prev"),
+        F.min(F.when(v > hi, v)).alias("__next"),
+    ).join(bands.select(*keys, "__h", "__r0", "__r1"), keys, "inner")
     inband = (
-        joined.filter((F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi")))
+        joined.filter((v >= lo) & (v <= hi))
         .groupBy(*keys, "__v")
         .agg(F.count(F.lit(1)).alias("__m"))
     )
     w = Window.partitionBy(*keys).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = (
-        inband.join(below, keys, "inner")
-        .join(bands.select(*keys, "__h", "__r0", "__r1"), keys, "inner")
+        inband.join(stats.select(*keys, "__below", "__r0", "__r1"), keys, "inner")
         .withColumn("__end", F.col("__below") + F.sum("__m").over(w))  # exclusive end rank
         .withColumn("__start", F.col("__end") - F.col("__m"))
     )
@@ -91,13 +95,18 @@ def exact_quantiles(
     picked = ranked.groupBy(*keys).agg(
         F.max(F.when(hit0, F.col("__v"))).alias("__v0"),
         F.max(F.when(hit1, F.col("__v"))).alias("__v1"),
-        F.first("__h").alias("__h"),
-        F.first("__r0").alias("__r0"),
-    )
-    return picked.select(
-        *keys,
-        (F.col("__v0") + (F.col("__h") - F.col("__r0")) * (F.col("__v1") - F.col("__v0"))).alias("quantile"),
     )
+    full = stats.join(picked, keys, "left")
+
+    def pick(r: str, inner: str):
+        return (
+            F.when(F.col(inner).isNotNull(), F.col(inner))
+            .when(F.col(r) == F.col("__below") - 1, F.col("__prev"))
+            .when(F.col(r) == F.col("__below") + F.col("__inband"), F.col("__next"))
+        )
+
+    v0, v1 = pick("__r0", "__v0"), pick("__r1", "__v1")
+    return full.select(*keys, (v0 + (F.col("__h") - F.col("__r0")) * (v1 - v0)).alias("quantile"))
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Iterable[str] = (), name: str = "feature") -> DataFrame:

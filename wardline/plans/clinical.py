@@ -264,3 +264,36 @@ def high_risk_target(df: DataFrame, out: str = "high_risk") -> DataFrame:
         F.col("total_comorbidities") >= 3,
         F.col("num_prior_admissions") >= 3,
     ))
+
+
+# ---------------------------------------------------------------------------
+# Columns removed before modelling.
+# ---------------------------------------------------------------------------
+TARGET = "readmitted_within_30d"
+READMISSION_DROP = [
+    "readmitted_within_30d", "admission_id", "patient_id", "admission_date",
+    "discharge_date", "original_discharge_date", "date_of_birth", "registered_date",
+]
+HIGH_RISK_LEAKAGE = [
+    "readmitted_within_30d", "length_of_stay_days", "icu_days", "total_comorbidities",
+    "num_prior_admissions", "icu_admitted", "had_icu_stay", "icu_ratio", "cost_per_day",
+    "is_high_utiliser", "readmission_reason", "discharge_disposition", "total_charges_usd",
+    "insurance_paid_usd", "out_of_pocket_cost", "insurance_coverage_ratio",
+    "primary_diagnosis_desc", "attending_physician_id", "zip_code", "hospital", "ward",
+    "primary_hospital", "icu_admitted", "had_icu_stay", "is_high_comorbidity", "age_group",
+    "low_social_support",
+]
+ID_DATE_COLS = [
+    "admission_id", "patient_id", "admission_date", "discharge_date",
+    "original_discharge_date", "date_of_birth", "registered_date",
+]
+READMISSION_INPUTS = [
+    "age", "gender", "insurance_type", "admission_type", "admission_source", "length_of_stay_days",
+    "charlson_comorbidity_index", "num_prior_admissions", "num_medications",
+    "has_diabetes", "has_hypertension", "has_heart_disease", "has_copd",
+]
+HIGH_RISK_INPUTS = [
+    "age", "gender", "admission_type", "charlson_comorbidity_index", "num_prior_admissions",
+    "num_ed_visits", "social_support_score", "smoking_status", "alcohol_use",
+    "has_diabetes", "has_hypertension", "has_heart_disease", "has_copd",
+]
