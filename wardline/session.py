@@ -25,6 +25,7 @@ def builder(master: str = "local[8]", app: str = "wardline", shuffle_partitions:
     return (
         b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("WARDLINE_DRIVER_MEMORY", "16g"))
     )
 
