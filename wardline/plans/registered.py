@@ -1,6 +1,6 @@
 """Import every module that registers queries; exposes the full registry."""
 
-from wardline.plans import catalog, ml_queries, reports, series_queries  # noqa: F401  (registration side effects)
+from wardline.plans import catalog, clean_queries, ml_queries, reports, series_queries  # noqa: F401
 from wardline.plans.catalog import REGISTRY
 
 __all__ = ["REGISTRY"]
