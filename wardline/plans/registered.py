@@ -1,6 +1,8 @@
 """Import every module that registers queries; exposes the full registry."""
 
-from wardline.plans import catalog, clean_queries, ml_queries, reports, series_queries  # noqa: F401
+from wardline.plans import (  # noqa: F401  (registration side effects)
+    catalog, clean_queries, forecast_queries, ml_queries, model_queries, reports, series_queries,
+)
 from wardline.plans.catalog import REGISTRY
 
 __all__ = ["REGISTRY"]
