@@ -173,3 +173,27 @@ def _run_log(spark, sf_dir):
         F.create_map(F.lit("model"), F.col("model")).alias("params"),
         F.create_map(*[x for m in ("roc_auc", "f1", "precision", "recall") for x in (F.lit(m), F.col(m))]).alias("metrics"),
     )
+
+
+# -- R1, R2 ------------------------------------------------------------------
+def _attributions(spark, sf_dir):
+    """High-risk boosted model, attributions of every test row."""
+    from wardline.operators.attribution import attributions
+
+    job = Job(spark, sf_dir, high_risk=True)
+    model = job.estimators()["boosted_trees"].fit(job.train)
+    names = job.prep.feature_names(job.test_rows)
+    return attributions(spark, model, job.test, ID, len(names)), names
+
+
+@register("attribution")
+def _attribution(spark, sf_dir):
+    return _attributions(spark, sf_dir)[0]
+
+
+@register("attribution_top")
+def _attribution_top(spark, sf_dir):
+    from wardline.operators.attribution import top_positive
+
+    attr, names = _attributions(spark, sf_dir)
+    return top_positive(attr, names, 30)
