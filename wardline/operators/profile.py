@@ -175,30 +175,57 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, whis: float = 1.5,
 
 
 # -- A23, A24 --------------------------------------------------------------
-def _pair_corr(x: str, y: str):
-    """Pairwise-complete Pearson; zero variance → null (pandas gives NaN)."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    xv = F.when(both, F.col(x).cast("double"))
-    yv = F.when(both, F.col(y).cast("double"))
-    return F.try_divide(F.covar_samp(xv, yv), F.stddev_samp(xv) * F.stddev_samp(yv))
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pairwise-complete Pearson for each ``(x, y)`` pair: one row, one
+    column ``{x}__{y}`` per pair; zero variance or < 2 rows → null.
+
+    Two passes of plain sums (hash-aggregated, codegen-friendly): the column
+    means, then per pair the count and the sums of shifted values, squares
+    and cross-products over the rows where both are present.  Shifting by
+    the mean keeps ``Σd² − (Σd)²/n`` free of cancellation even when a column
+    has a large mean and a small spread.
+    """
+    cols = sorted({c for p in pairs for c in p})
+    shift = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m_{c}") for c in cols])
+    # shifted columns projected once, so each aggregate reads a plain column
+    j = df.select(*cols).crossJoin(F.broadcast(shift)).select(
+        *[(F.col(c).cast("double") - F.col(f"__m_{c}")).alias(c) for c in cols])
+    aggs = []
+    for a, b in pairs:
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        da, db = F.when(both, F.col(a)), F.when(both, F.col(b))
+        k = f"{a}__{b}"
+        aggs += [F.count(da).alias(f"{k}__n"), F.sum(da).alias(f"{k}__sa"), F.sum(db).alias(f"{k}__sb"),
+                 F.sum(da * da).alias(f"{k}__saa"), F.sum(db * db).alias(f"{k}__sbb"), F.sum(da * db).alias(f"{k}__sab")]
+    sums = j.agg(*aggs)
+    out = []
+    for a, b in pairs:
+        k = f"{a}__{b}"
+        n, sa, sb = F.col(f"{k}__n").cast("double"), F.col(f"{k}__sa"), F.col(f"{k}__sb")
+        cov = F.col(f"{k}__sab") - sa * sb / n
+        va = F.col(f"{k}__saa") - sa * sa / n
+        vb = F.col(f"{k}__sbb") - sb * sb / n
+        r = F.when((n >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
+        out.append(r.alias(k))
+    return sums.select(*out)
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long ``(x, y, corr)`` for every ordered pair, one aggregate pass."""
+    """Long ``(x, y, corr)`` for every ordered pair, diagonal 1 (null when constant)."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[_pair_corr(a, b).alias(f"{a}__{b}") for a, b in pairs],
-                 *[F.stddev_samp(F.col(c).cast("double")).alias(f"__sd_{c}") for c in cols])
+    diag = [(c, c) for c in cols]
+    one = pair_correlations(df, pairs + diag)
     rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
     rows += [F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
     rows += [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"),
-                      F.when(F.col(f"__sd_{c}") > 0, F.lit(1.0)).alias("corr")) for c in cols]
+                      F.when(F.col(f"{c}__{c}").isNotNull(), F.lit(1.0)).alias("corr")) for c in cols]
     return one.select(F.explode(F.array(*rows)).alias("__r")).select("__r.*")
 
 
 def corr_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    one = df.agg(*[_pair_corr(c, target).alias(c) for c in cols])
-    return one.unpivot([], list(cols), "feature", "corr")
+    one = pair_correlations(df, [(c, target) for c in cols])
+    return one.select(*[F.col(f"{c}__{target}").alias(c) for c in cols]).unpivot([], list(cols), "feature", "corr")
 
 
 def corr_top(df: DataFrame, target: str, cols: Sequence[str], k: int) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 100_000
+DEFAULT_ACCURACY = 10_000
 
 
 def exact_quantiles(
