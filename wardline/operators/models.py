@@ -129,10 +129,12 @@ def sample_grid(grid: Mapping[str, Sequence], n_iter: int, seed: int = 42) -> li
 
 
 def random_search(estimator, param_maps: list[dict], train: DataFrame, label: str, fold_col: str, folds: int = 5,
-                  parallelism: int = 4):
+                  parallelism: int | None = None):
     """Cross-validated ROC-AUC for each parameter map (folds from a column),
     then a refit of the best map on all training rows."""
     maps = [{estimator.getParam(k): v for k, v in pm.items()} for pm in param_maps]
+    if parallelism is None:  # concurrent fits, one per core the session has
+        parallelism = max(1, train.sparkSession.sparkContext.defaultParallelism)
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference processes files in batch and has no stream, watermark or
+state, so no streaming operator is defined.  New input sets are handled by
+re-running the batch plans; ``wardline.sources.tables.materialized`` keys
+derived tables by their inputs, so unchanged inputs are not recomputed.
+"""
