@@ -140,7 +140,9 @@ def histogram(df: DataFrame, col: str, bins: int = 40, by: str | None = None) ->
         F.lit(bins - 1),
     )
     idx = F.when(F.col("__hi") == F.col("__lo"), F.lit(0)).otherwise(idx).cast("int")
-    joined = base.join(F.broadcast(rng), keys, "inner") if by else base.crossJoin(F.broadcast(rng))
+    # one range row per group: AQE broadcasts it when small; no hint, since
+    # the number of groups is not bounded in general
+    joined = base.join(rng, keys, "inner") if by else base.crossJoin(F.broadcast(rng))
     counts = joined.groupBy(*keys, idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     grid = rng.select(*keys, "__lo", "__hi", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     return grid.join(counts, [*keys, "bin"], "left").select(

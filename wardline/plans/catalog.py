@@ -133,4 +133,6 @@ def _ed_features(spark, sf_dir):
 
 @register("master", O.with_ctes("SELECT * FROM master", "master"), settle=VITAL_STAT_COLS)
 def _master(spark, sf_dir):
-    return build_master(spark, sf_dir)
+    """Built from the raw tables on first use in a session (and
+    per input set / code version), then served from the shared folder."""
+    return master(spark, sf_dir)

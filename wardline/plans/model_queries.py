@@ -65,6 +65,27 @@ class Job:
         }
 
 
+_JOBS: dict = {}
+_FITTED: dict = {}
+
+
+def job(spark, sf_dir, high_risk: bool = False, folds: bool = False) -> Job:
+    """One Job per (session, inputs, kind): its checkpointed design matrices
+    are shared by every key that trains on them."""
+    key = (id(spark), sf_dir, high_risk, folds)
+    if key not in _JOBS:
+        _JOBS[key] = Job(spark, sf_dir, high_risk=high_risk, folds=folds)
+    return _JOBS[key]
+
+
+def fitted(spark, sf_dir, name: str, high_risk: bool = False):
+    key = (id(spark), sf_dir, high_risk, name)
+    if key not in _FITTED:
+        j = job(spark, sf_dir, high_risk)
+        _FITTED[key] = j.estimators()[name].fit(j.train)
+    return _FITTED[key]
+
+
 def _metrics_row(name: str, scored: DataFrame, label: str) -> DataFrame:
     auc = E.roc_auc(scored, label, "probability")
     prf = E.binary_metrics(scored, label, "prediction")
@@ -74,25 +95,23 @@ def _metrics_row(name: str, scored: DataFrame, label: str) -> DataFrame:
 # -- M4, M5 ------------------------------------------------------------------
 @register("one_hot")
 def _one_hot(spark, sf_dir):
-    job = Job(spark, sf_dir)
-    enc = job.prep.transform(job.test_rows)
-    return enc.select(ID, *[vector_to_array(f"{c}__oh").alias(c) for c in job.cat])
+    j = job(spark, sf_dir)
+    enc = j.prep.transform(j.test_rows)
+    return enc.select(ID, *[vector_to_array(f"{c}__oh").alias(c) for c in j.cat])
 
 
 @register("feature_matrix")
 def _feature_matrix(spark, sf_dir):
-    job = Job(spark, sf_dir)
-    tr = job.train.select(ID, T, F.lit("train").alias("split"), vector_to_array("features").alias("features"))
-    te = job.test.select(ID, T, F.lit("test").alias("split"), vector_to_array("features").alias("features"))
+    j = job(spark, sf_dir)
+    tr = j.train.select(ID, T, F.lit("train").alias("split"), vector_to_array("features").alias("features"))
+    te = j.test.select(ID, T, F.lit("test").alias("split"), vector_to_array("features").alias("features"))
     return tr.unionByName(te)
 
 
 # -- M9-M11 --------------------------------------------------------------------
 def _fit_one(name: str):
     def fn(spark, sf_dir):
-        job = Job(spark, sf_dir)
-        model = job.estimators()[name].fit(job.train)
-        return MD.score(model, job.test, [ID, T])
+        return MD.score(fitted(spark, sf_dir, name), job(spark, sf_dir).test, [ID, T])
     return fn
 
 
@@ -104,20 +123,20 @@ register("fit_boosted")(_fit_one("boosted_trees"))
 # -- M12 ---------------------------------------------------------------------
 @register("model_comparison")
 def _model_comparison(spark, sf_dir):
-    job = Job(spark, sf_dir)
-    rows = [_metrics_row(n, MD.score(est.fit(job.train), job.test, [ID, T]), T) for n, est in job.estimators().items()]
+    j = job(spark, sf_dir)
+    rows = [_metrics_row(n, MD.score(fitted(spark, sf_dir, n), j.test, [ID, T]), T) for n in j.estimators()]
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc("roc_auc"))
 
 
 @register("high_risk_comparison")
 def _high_risk_comparison(spark, sf_dir):
-    job = Job(spark, sf_dir, high_risk=True)
-    t = job.target
-    maj = M.majority_class(job.train, t)
-    base = job.test.select(ID, t).crossJoin(F.broadcast(maj)).select(
+    j = job(spark, sf_dir, high_risk=True)
+    t = j.target
+    maj = M.majority_class(j.train, t)
+    base = j.test.select(ID, t).crossJoin(F.broadcast(maj)).select(
         ID, t, F.col("majority").cast("double").alias("probability"), F.col("majority").alias("prediction"))
     rows = [_metrics_row("majority_baseline", base, t)]
-    rows += [_metrics_row(n, MD.score(est.fit(job.train), job.test, [ID, t]), t) for n, est in job.estimators().items()]
+    rows += [_metrics_row(n, MD.score(fitted(spark, sf_dir, n, True), j.test, [ID, t]), t) for n in j.estimators()]
     return reduce(DataFrame.unionByName, rows).orderBy(F.desc("recall"))
 
 
@@ -125,14 +144,14 @@ def _high_risk_comparison(spark, sf_dir):
 @register("random_search")
 def _random_search(spark, sf_dir):
     """20 sampled points of the logistic grid, 5 folds, ROC-AUC, refit."""
-    job = Job(spark, sf_dir, folds=True)
+    j = job(spark, sf_dir, folds=True)
     combos = MD.sample_grid(MD.GRID_LOGISTIC, 20, 42)
-    maps = [MD.spark_params("logistic", c, job.n_weight) for c in combos]
-    cv = MD.random_search(job.estimators()["logistic_regression"], maps, job.train, T, "fold", 5)
+    maps = [MD.spark_params("logistic", c, j.n_weight) for c in combos]
+    cv = MD.random_search(j.estimators()["logistic_regression"], maps, j.train, T, "fold", 5)
     names = MD.describe_maps(combos)
     rows = [(i, names[i], float(m)) for i, m in enumerate(cv.avgMetrics)]
     best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
-    scored = MD.score(cv.bestModel, job.test, [ID, T])
+    scored = MD.score(cv.bestModel, j.test, [ID, T])
     test_auc = E.roc_auc(scored, T, "probability").first()["roc_auc"]
     return spark.createDataFrame(
         [(i, n, round(a, 4), i == best, test_auc if i == best else None) for i, n, a in rows],
@@ -143,14 +162,14 @@ def _random_search(spark, sf_dir):
 def _batch_scores(spark, sf_dir):
     """Test patients given only the 13 form inputs, the other features from
     the training defaults (median / mode), scored by the logistic model."""
-    job = Job(spark, sf_dir)
-    model = job.estimators()["logistic_regression"].fit(job.train)
-    defaults = M.feature_defaults(job.train_rows, job.num, job.cat)
-    wide = defaults.agg(*[F.max(F.when(F.col("feature") == c, F.col("num_default" if c in job.num else "cat_default")))
-                          .alias(c) for c in job.num + job.cat])
-    inputs = job.test_rows.select(ID, T, *K.READMISSION_INPUTS)
+    model = fitted(spark, sf_dir, "logistic_regression")
+    j = job(spark, sf_dir)
+    defaults = M.feature_defaults(j.train_rows, j.num, j.cat)
+    wide = defaults.agg(*[F.max(F.when(F.col("feature") == c, F.col("num_default" if c in j.num else "cat_default")))
+                          .alias(c) for c in j.num + j.cat])
+    inputs = j.test_rows.select(ID, T, *K.READMISSION_INPUTS)
     rows = R.overlay_defaults(inputs, wide)
-    design = job.prep.transform(rows).select(ID, T, "features")
+    design = j.prep.transform(rows).select(ID, T, "features")
     return MD.score(model, design, [ID, T]).withColumn("risk_band", R.risk_band("probability"))
 
 
@@ -180,10 +199,10 @@ def _attributions(spark, sf_dir):
     """High-risk boosted model, attributions of every test row."""
     from wardline.operators.attribution import attributions
 
-    job = Job(spark, sf_dir, high_risk=True)
-    model = job.estimators()["boosted_trees"].fit(job.train)
-    names = job.prep.feature_names(job.test_rows)
-    return attributions(spark, model, job.test, ID, len(names)), names
+    model = fitted(spark, sf_dir, "boosted_trees", True)
+    j = job(spark, sf_dir, True)
+    names = j.prep.feature_names(j.test_rows)
+    return attributions(spark, model, j.test, ID, len(names)), names
 
 
 @register("attribution")
