@@ -70,10 +70,11 @@ def design(df: DataFrame, prep: FeaturePrep, keep: Sequence[str]) -> DataFrame:
 
 # -- M9-M11 ------------------------------------------------------------------
 def logistic(label: str, weight: str | None, n_weight: float, C: float = 1.0, l1: bool = False,
-             max_iter: int = 1000) -> LogisticRegression:
+             max_iter: int = 1000, tol: float = 1e-4) -> LogisticRegression:
     """sklearn's ``C·Σ w·loss + ½‖β‖²`` is Spark's ``mean_w(loss) + ½λ‖β‖²``
-    with ``λ = 1/(C·Σw)``; inputs are already standardised."""
-    kw = dict(labelCol=label, featuresCol="features", maxIter=max_iter, regParam=1.0 / (C * n_weight),
+    with ``λ = 1/(C·Σw)``; inputs are already standardised; ``tol`` is
+    sklearn's default (Spark's is 1e-6)."""
+    kw = dict(labelCol=label, featuresCol="features", maxIter=max_iter, tol=tol, regParam=1.0 / (C * n_weight),
               elasticNetParam=1.0 if l1 else 0.0, standardization=False)
     if weight:
         kw["weightCol"] = weight
@@ -133,8 +134,8 @@ def random_search(estimator, param_maps: list[dict], train: DataFrame, label: st
     """Cross-validated ROC-AUC for each parameter map (folds from a column),
     then a refit of the best map on all training rows."""
     maps = [{estimator.getParam(k): v for k, v in pm.items()} for pm in param_maps]
-    if parallelism is None:  # concurrent fits, one per core the session has
-        parallelism = max(1, train.sparkSession.sparkContext.defaultParallelism)
+    if parallelism is None:  # concurrent fits; each fit's jobs also use the cores
+        parallelism = max(1, min(4, train.sparkSession.sparkContext.defaultParallelism // 2))
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,

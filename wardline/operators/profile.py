@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
 from wardline.operators.quantiles import DEFAULT_ACCURACY, long_values, quantile_table
+from wardline.session import cut_lineage
 
 
 def _long_text(df: DataFrame, cols: Sequence[str], by: Iterable[str] = (), name="feature", value="category"):
@@ -177,7 +178,7 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, whis: float = 1.5,
 
 
 # -- A23, A24 --------------------------------------------------------------
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], stage: bool = True) -> DataFrame:
     """Pairwise-complete Pearson for each ``(x, y)`` pair: one row, one
     column ``{x}__{y}`` per pair; zero variance or < 2 rows → null.
 
@@ -188,6 +189,8 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     has a large mean and a small spread.
     """
     cols = sorted({c for p in pairs for c in p})
+    if stage:  # both passes read one narrow checkpoint instead of recomputing the input twice
+        df = cut_lineage(df.select(*cols))
     shift = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m_{c}") for c in cols])
     # shifted columns projected once, so each aggregate reads a plain column
     j = df.select(*cols).crossJoin(F.broadcast(shift)).select(
@@ -212,12 +215,12 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     return sums.select(*out)
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str], stage: bool = True) -> DataFrame:
     """Long ``(x, y, corr)`` for every ordered pair, diagonal 1 (null when constant)."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     diag = [(c, c) for c in cols]
-    one = pair_correlations(df, pairs + diag)
+    one = pair_correlations(df, pairs + diag, stage)
     rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
     rows += [F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
     rows += [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"),
@@ -225,8 +228,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("__r")).select("__r.*")
 
 
-def corr_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    one = pair_correlations(df, [(c, target) for c in cols])
+def corr_with(df: DataFrame, target: str, cols: Sequence[str], stage: bool = True) -> DataFrame:
+    one = pair_correlations(df, [(c, target) for c in cols], stage)
     return one.select(*[F.col(f"{c}__{target}").alias(c) for c in cols]).unpivot([], list(cols), "feature", "corr")
 
 
