@@ -290,7 +290,8 @@ ORDER BY round_even(abs(corr) * 1e9, 0) DESC, feature LIMIT 25""", "master"), se
 def _corr_top(spark, sf_dir):
     m = master(spark, sf_dir)
     cols = [c for c in select_dtypes(m, "numeric") if c != TARGET]
-    c = PR.corr_with(m, TARGET, cols, stage=False).filter(  # the master is already a stored tableF.col("corr").isNotNull() & ~F.isnan("corr"))
+    # the master is already a stored table: no staging checkpoint
+    c = PR.corr_with(m, TARGET, cols, stage=False).filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
     return c.orderBy(F.desc(F.rint(F.abs("corr") * 1e9)), "feature").limit(25)
 
 
