@@ -99,8 +99,8 @@ def _arima_forecast(spark, sf_dir):
     return A.arima_forecast(_series(spark, sf_dir), TRAIN_END, TEST_START)
 
 
-@register("arima_order")
-def _arima_order(spark, sf_dir):
+@register("arima_hr")
+def _arima_hr(spark, sf_dir):
     from wardline.operators import arima as A
 
     fc = A.arima_forecast(_series(spark, sf_dir), TRAIN_END, TEST_START)

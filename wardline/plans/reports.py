@@ -69,6 +69,13 @@ def _negative_report(spark, sf_dir):
     return Q.negative_report(master(spark, sf_dir))
 
 
+# -- Q6 ----------------------------------------------------------------------
+@register("dtype_report")
+def _dtype_report(spark, sf_dir):
+    """``df_readmission.info()``: types and non-null counts of the cleaned readmissions."""
+    return Q.dtype_report(cleaned(spark, sf_dir, "readmissions"))
+
+
 # -- Q5, F10 -----------------------------------------------------------------
 _HR_SQL = """CAST(coalesce(readmitted_within_30d = 1, false) OR coalesce(length_of_stay_days > 7, false)
   OR coalesce(icu_days > 0, false) OR coalesce(total_comorbidities >= 3, false)
