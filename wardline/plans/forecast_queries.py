@@ -18,25 +18,41 @@ from wardline.session import cut_lineage
 HORIZON = 30  # the dashboard's default horizon (7-180 allowed)
 
 
+_SERIES: dict = {}
+_BOOSTED: dict = {}
+
+
 def _series(spark, sf_dir):
-    return cut_lineage(daily(spark, sf_dir))
+    """The daily series, checkpointed once per session and input dir."""
+    key = (id(spark), sf_dir)
+    if key not in _SERIES:
+        _SERIES[key] = cut_lineage(daily(spark, sf_dir))
+    return _SERIES[key]
+
+
+def _boosted(spark, sf_dir):
+    """The lag-feature GBT fit and its test predictions, shared by every
+    key that reports on them."""
+    key = (id(spark), sf_dir)
+    if key not in _BOOSTED:
+        model, pred = FC.boosted_forecast(_series(spark, sf_dir), TRAIN_END, TEST_START)
+        _BOOSTED[key] = (model, cut_lineage(pred))
+    return _BOOSTED[key]
 
 
 @register("boosted_forecast")
 def _boosted_forecast(spark, sf_dir):
-    _, pred = FC.boosted_forecast(_series(spark, sf_dir), TRAIN_END, TEST_START)
-    return pred
+    return _boosted(spark, sf_dir)[1]
 
 
 @register("regression_metrics")
 def _regression_metrics(spark, sf_dir):
-    _, pred = FC.boosted_forecast(_series(spark, sf_dir), TRAIN_END, TEST_START)
-    return E.regression_metrics(pred, "value", "forecast", "series")
+    return E.regression_metrics(_boosted(spark, sf_dir)[1], "value", "forecast", "series")
 
 
 def _recursive(spark, sf_dir):
     s = _series(spark, sf_dir)
-    model, _ = FC.boosted_forecast(s, TRAIN_END, TEST_START)
+    model, _ = _boosted(spark, sf_dir)
     seeds = S.last_k(s, 7, before=TRAIN_END)
     return FC.recursive_forecast(spark, model, seeds, HORIZON)
 
@@ -73,7 +89,7 @@ def _forecast_comparison(spark, sf_dir):
 
     s = _series(spark, sf_dir)
     preds = {
-        "boosted_lags": FC.boosted_forecast(s, TRAIN_END, TEST_START)[1],
+        "boosted_lags": _boosted(spark, sf_dir)[1],
         "fourier_trend": FC.fourier_forecast(s, TRAIN_END, TEST_START)[1],
         "arima": A.arima_forecast(s, TRAIN_END, TEST_START),
     }
