@@ -48,3 +48,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder; survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def size_shuffles(spark: SparkSession, paths: list[str], target_bytes: int = 128 << 20,
+                  max_partitions: int = 200_000) -> int:
+    """Opt-in: size the initial shuffle partition count from the input bytes
+    (file listing only, no data read) so that, before AQE coalesces them,
+    shuffle partitions hold about ``target_bytes`` each.  Never lowers a
+    count the cluster already set higher.  Returns the count in effect."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    total = 0
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        total += path.getFileSystem(conf).getContentSummary(path).getLength()
+    want = min(max_partitions, max(1, -(-total // target_bytes)))
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if want > current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(want))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(want))
+    return max(want, current)
