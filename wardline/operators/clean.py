@@ -39,7 +39,8 @@ def coerce_datetimes(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     for c in present(df, cols):
         if isinstance(fields[c], DATETIME):
             continue
-        out[c] = F.try_to_timestamp(F.col(c).cast("string"))
+        # wall-clock timestamps (no zone), like pandas' naive datetimes
+        out[c] = F.try_to_timestamp(F.col(c).cast("string")).cast("timestamp_ntz")
     return df.withColumns(out) if out else df
 
 

@@ -263,7 +263,10 @@ def _risk_flags(spark, sf_dir):
 
 
 # -- J6 --------------------------------------------------------------------------
-@register("overlay_defaults", q(f"""
+_OVERLAY_NUM = [c for c in K.READMISSION_INPUTS + OVERLAY_EXTRA if c in NUMERIC_FEATURES]
+
+
+@register("overlay_defaults", settle=_OVERLAY_NUM, sql=q(f"""
 SELECT sp.admission_id, {', '.join(f'coalesce(sp.{c}, d.{c}) AS {c}' for c in K.READMISSION_INPUTS)},
   {', '.join(f'd.{c} AS {c}' for c in OVERLAY_EXTRA)}
 FROM sp, (SELECT {', '.join(

@@ -227,7 +227,7 @@ class DriverTables:
             F.col("o_custkey").alias("patient_id"),
             F.col("o_orderdate").alias("original_discharge_date"),
             F.col("next_date").alias("readmission_date"),
-            (F.datediff(F.to_date("next_date"), F.to_date("o_orderdate")) - 1).alias("days_to_readmission"),
+            (F.datediff(F.to_date("next_date"), F.to_date("o_orderdate")) - 1).cast("long").alias("days_to_readmission"),
             _null_when(k % 7 == 0, (k % 3 == 0).cast("int")).alias("planned_readmission"),
             _null_when(k % 5 == 0, (F.col("o_custkey") % 2 == 0).cast("int")).alias("same_diagnosis"),
         )
