@@ -56,8 +56,10 @@ def fit_features(train: DataFrame, num: Sequence[str], cat: Sequence[str]) -> Fe
         stages.append(StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep",
                                     stringOrderType="alphabetAsc"))
     if cat:
+        # the indexer's "unknown" index is the last slot, so dropLast removes
+        # it: an unseen category encodes as all zeros
         stages.append(OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__oh" for c in cat],
-                                    dropLast=True, handleInvalid="keep"))
+                                    dropLast=True))
     stages.append(VectorAssembler(inputCols=num + [f"{c}__oh" for c in cat], outputCol="features",
                                   handleInvalid="keep"))
     return FeaturePrep(num, cat, params, Pipeline(stages=stages).fit(filled))
