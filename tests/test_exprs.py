@@ -83,3 +83,14 @@ def test_corr_constant_is_null(spark):  # N17
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (3.0, 5.0)], "a double, b double")
     m = {(r.x, r.y): r.corr for r in corr_matrix(df, ["a", "b"]).collect()}
     assert m[("a", "b")] is None and m[("b", "b")] is None and m[("a", "a")] == 1.0
+
+
+def test_null_safe_merge_paths_agree(spark):  # N4
+    from wardline.operators.joins import merge
+
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (3, "d")], "k int, l string")
+    right = spark.createDataFrame([(1, 10.0), (None, 99.0), (2, 20.0)], "k int, r double")
+    want = sorted(merge(left, right, "k", "left", null_safe=True).collect(), key=str)
+    got = sorted(merge(left, right, "k", "left", null_safe=True, right_unique=True).collect(), key=str)
+    assert got == want
+    assert {(x.l, x.r) for x in got} == {("a", 10.0), ("b", 99.0), ("c", 20.0), ("d", None)}

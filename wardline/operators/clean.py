@@ -122,8 +122,10 @@ def dedup_first(df: DataFrame, key: str, order: Iterable[str] = ()) -> DataFrame
     order = list(order)
     cols = df.columns
     ordering = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in cols if c not in order])
-    return df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols]), ordering).alias("__r")).select(
-        *[F.col(f"__r.{c}").alias(c) for c in cols]
+    # the key comes from the grouping column itself (not the struct), so the
+    # aggregate's hash partitioning on it stays visible to later joins
+    return df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols if c != key]), ordering).alias("__r")).select(
+        *[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in cols]
     )
 
 

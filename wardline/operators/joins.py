@@ -23,12 +23,20 @@ def merge(
     how: str = "left",
     null_safe: bool = False,
     suffixes: tuple[str, str] = ("_x", "_y"),
+    right_unique: bool = False,
 ) -> DataFrame:
     """``left.merge(right, on=..., how=...)``.
 
     * equal non-key names get ``_x`` / ``_y`` suffixes (N15);
     * ``null_safe`` matches a null key to a null key, as pandas does (N4);
     * key columns appear once, from the left side (coalesced for outer joins).
+
+    A null-safe equi-join hashes on ``(coalesce(key), isnull(key))`` and so
+    re-shuffles both sides.  When the caller knows ``right`` is unique on a
+    single key (e.g. it was de-duplicated on it), its null-key part is at
+    most one row: the non-null keys then join by a plain equi-join (reusing
+    the right side's partitioning) and that one row is attached by a
+    broadcast whose size bound is the uniqueness itself.
     """
     keys = [on] if isinstance(on, str) else list(on)
     clash = (set(left.columns) & set(right.columns)) - set(keys)
@@ -37,6 +45,14 @@ def merge(
         *[F.col(c).alias(f"__rk_{c}") if c in keys else (F.col(c).alias(c + suffixes[1]) if c in clash else F.col(c))
           for c in right.columns]
     )
+    if null_safe and right_unique and len(keys) == 1 and how in ("left", "left_outer"):
+        k, rk = keys[0], f"__rk_{keys[0]}"
+        payload = [c for c in r.columns if c != rk]
+        j = l.join(r.filter(F.col(rk).isNotNull()), l[k] == F.col(rk), "left").drop(rk)
+        null_row = r.filter(F.col(rk).isNull()).select(*[F.col(c).alias(f"__nk_{c}") for c in payload])
+        j = j.join(F.broadcast(null_row), F.col(k).isNull(), "left")  # ≤ 1 row: right is unique on k
+        return j.select(*l.columns, *[
+            F.when(F.col(k).isNull(), F.col(f"__nk_{c}")).otherwise(F.col(c)).alias(c) for c in payload])
     cond = None
     for k in keys:
         term = l[k].eqNullSafe(r[f"__rk_{k}"]) if null_safe else (l[k] == r[f"__rk_{k}"])

@@ -246,8 +246,10 @@ def integrate(features: dict[str, DataFrame]) -> DataFrame:
     master = features["admissions"]
     for name in ("vitals_agg", "lab_agg", "med_agg", "diag_agg"):
         master = merge(master, features[name], "admission_id", "left")
-    master = merge(master, features["patients"], "patient_id", "left", null_safe=True)
-    master = merge(master, features["ed_agg"], "patient_id", "left", null_safe=True)
+    # patients are de-duplicated on patient_id (one null-key row at most);
+    # the ED rollup has dropped null keys, so a plain equi-join is exact
+    master = merge(master, features["patients"], "patient_id", "left", null_safe=True, right_unique=True)
+    master = merge(master, features["ed_agg"], "patient_id", "left")
     return C.fill_prefix(master, "num_", 0)
 
 
