@@ -93,7 +93,26 @@ def _metrics_row(name: str, scored: DataFrame, label: str) -> DataFrame:
 
 
 # -- M4, M5 ------------------------------------------------------------------
-@register("one_hot")
+def _one_hot_sql() -> str:
+    from wardline.plans.master_schema import CATEGORICAL_FEATURES as CATS
+    from wardline.plans.ml_queries import q
+
+    modes = ", ".join(
+        f"(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM sp WHERE split = 'train' AND {c} IS NOT NULL "
+        f"GROUP BY 1) ORDER BY n DESC, v LIMIT 1) AS {c}" for c in CATS)
+    filled = ", ".join(f"coalesce(sp.{c}, oh_modes.{c}) AS {c}" for c in CATS)
+    levels = ", ".join(
+        f"(SELECT list(DISTINCT {c} ORDER BY {c}) FROM oh_filled WHERE split = 'train') AS {c}" for c in CATS)
+    cols = ", ".join(
+        f"list_transform(oh_levels.{c}, lambda x: CASE WHEN f.{c} = x THEN 1.0e0 ELSE 0.0e0 END) AS {c}" for c in CATS)
+    return q(f"SELECT f.admission_id, {cols} FROM oh_filled f, oh_levels WHERE f.split = 'test'", {
+        "oh_modes": f"\n  SELECT {modes}",
+        "oh_filled": f"\n  SELECT sp.admission_id, sp.split, {filled} FROM sp, oh_modes",
+        "oh_levels": f"\n  SELECT {levels}",
+    })
+
+
+@register("one_hot", _one_hot_sql())
 def _one_hot(spark, sf_dir):
     j = job(spark, sf_dir)
     enc = j.prep.transform(j.test_rows)
