@@ -97,19 +97,27 @@ def _one_hot_sql() -> str:
     from wardline.plans.master_schema import CATEGORICAL_FEATURES as CATS
     from wardline.plans.ml_queries import q
 
+    cols = ", ".join(
+        f"list_transform(oh_levels.{c}, lambda x: CASE WHEN f.{c} = x THEN 1.0e0 ELSE 0.0e0 END) AS {c}" for c in CATS)
+    return q(f"SELECT f.admission_id, {cols} FROM oh_filled f, oh_levels WHERE f.split = 'test'", _oh_ctes())
+
+
+def _oh_ctes() -> dict[str, str]:
+    """Train-split modes, filled categorical columns and sorted levels."""
+    from wardline.plans.master_schema import CATEGORICAL_FEATURES as CATS
+
     modes = ", ".join(
         f"(SELECT v FROM (SELECT {c} AS v, count(*) AS n FROM sp WHERE split = 'train' AND {c} IS NOT NULL "
         f"GROUP BY 1) ORDER BY n DESC, v LIMIT 1) AS {c}" for c in CATS)
     filled = ", ".join(f"coalesce(sp.{c}, oh_modes.{c}) AS {c}" for c in CATS)
     levels = ", ".join(
         f"(SELECT list(DISTINCT {c} ORDER BY {c}) FROM oh_filled WHERE split = 'train') AS {c}" for c in CATS)
-    cols = ", ".join(
-        f"list_transform(oh_levels.{c}, lambda x: CASE WHEN f.{c} = x THEN 1.0e0 ELSE 0.0e0 END) AS {c}" for c in CATS)
-    return q(f"SELECT f.admission_id, {cols} FROM oh_filled f, oh_levels WHERE f.split = 'test'", {
+    return {
         "oh_modes": f"\n  SELECT {modes}",
         "oh_filled": f"\n  SELECT sp.admission_id, sp.split, {filled} FROM sp, oh_modes",
         "oh_levels": f"\n  SELECT {levels}",
-    })
+    }
+
 
 
 @register("one_hot", _one_hot_sql())
@@ -119,11 +127,36 @@ def _one_hot(spark, sf_dir):
     return enc.select(ID, *[vector_to_array(f"{c}__oh").alias(c) for c in j.cat])
 
 
-@register("feature_matrix")
+def _feature_matrix_sql() -> str:
+    from wardline.plans.master_schema import CATEGORICAL_FEATURES as CATS
+    from wardline.plans.master_schema import NUMERIC_FEATURES as NUMS
+    from wardline.plans.ml_queries import q
+
+    oh = _oh_ctes()
+    med = ", ".join(f"quantile_cont(CAST({c} AS DOUBLE), 0.5) AS {c}" for c in NUMS)
+    mom = ", ".join(f"avg(coalesce(CAST(sp.{c} AS DOUBLE), fm_med.{c})) AS m_{c}, "
+                    f"stddev_pop(coalesce(CAST(sp.{c} AS DOUBLE), fm_med.{c})) AS s_{c}" for c in NUMS)
+    scaled = ", ".join(
+        f"(coalesce(CAST(sp.{c} AS DOUBLE), fm_med.{c}) - fm_mom.m_{c}) / "
+        f"CASE WHEN fm_mom.s_{c} = 0 OR fm_mom.s_{c} IS NULL THEN 1.0e0 ELSE fm_mom.s_{c} END" for c in NUMS)
+    hots = ", ".join(
+        f"list_transform(oh_levels.{c}, lambda x: CASE WHEN f.{c} = x THEN 1.0e0 ELSE 0.0e0 END)" for c in CATS)
+    return q(f"""
+SELECT sp.admission_id, sp.{T}, sp.split,
+  list_transform(list_concat([{scaled}], {hots}), lambda x: round_even(x * 1e6, 0) / 1e6) AS features
+FROM sp JOIN oh_filled f ON f.admission_id = sp.admission_id, fm_med, fm_mom, oh_levels""", {
+        **oh,
+        "fm_med": f"\n  SELECT {med} FROM sp WHERE split = 'train'",
+        "fm_mom": f"\n  SELECT {mom} FROM sp, fm_med WHERE sp.split = 'train'",
+    })
+
+
+@register("feature_matrix", _feature_matrix_sql())
 def _feature_matrix(spark, sf_dir):
     j = job(spark, sf_dir)
-    tr = j.train.select(ID, T, F.lit("train").alias("split"), vector_to_array("features").alias("features"))
-    te = j.test.select(ID, T, F.lit("test").alias("split"), vector_to_array("features").alias("features"))
+    arr = F.transform(vector_to_array("features"), lambda x: F.rint(x * 1e6) / 1e6).alias("features")
+    tr = j.train.select(ID, T, F.lit("train").alias("split"), arr)
+    te = j.test.select(ID, T, F.lit("test").alias("split"), arr)
     return tr.unionByName(te)
 
 
