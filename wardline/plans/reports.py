@@ -70,7 +70,22 @@ def _negative_report(spark, sf_dir):
 
 
 # -- Q6 ----------------------------------------------------------------------
-@register("dtype_report")
+# DuckDB type names and the Spark type names they correspond to.
+SPARK_TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                    "TIMESTAMP": "timestamp_ntz", "DATE": "date", "BOOLEAN": "boolean"}
+
+
+def _dtype_sql(table: str, cols: list[str]) -> str:
+    def spark_name(c: str) -> str:
+        t = f"min(typeof({c}))"
+        whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SPARK_TYPE_NAMES.items())
+        return f"CASE {t} {whens} ELSE lower({t}) END"
+
+    return "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS feature, {spark_name(c)} AS dtype, count({c}) AS non_null FROM {table}" for c in cols)
+
+
+@register("dtype_report", O.with_ctes(_dtype_sql("clean_readmissions", O.READM_COLS), "clean_readmissions"))
 def _dtype_report(spark, sf_dir):
     """``df_readmission.info()``: types and non-null counts of the cleaned readmissions."""
     return Q.dtype_report(cleaned(spark, sf_dir, "readmissions"))
