@@ -268,3 +268,18 @@ def _attribution_top(spark, sf_dir):
 
     attr, names = _attributions(spark, sf_dir)
     return top_positive(attr, names, 30)
+
+
+# -- M15 on model output ---------------------------------------------------------
+HIGH_RISK_THRESHOLD = 0.4  # fixed value: the high-risk job's decision threshold
+
+
+@register("high_risk_threshold")
+def _high_risk_threshold(spark, sf_dir):
+    """The high-risk evaluation at the 0.4 threshold: ROC-AUC and
+    precision / recall / F1 of the boosted model's test predictions."""
+    j = job(spark, sf_dir, high_risk=True)
+    scored = MD.score(fitted(spark, sf_dir, "boosted_trees", True), j.test, [ID, j.target], HIGH_RISK_THRESHOLD)
+    return E.roc_auc(scored, j.target, "probability").crossJoin(
+        E.binary_metrics(scored, j.target, "prediction")).select(
+        F.lit(HIGH_RISK_THRESHOLD).alias("threshold"), "roc_auc", "f1", "precision", "recall", "accuracy")
