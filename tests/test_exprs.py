@@ -94,3 +94,15 @@ def test_null_safe_merge_paths_agree(spark):  # N4
     got = sorted(merge(left, right, "k", "left", null_safe=True, right_unique=True).collect(), key=str)
     assert got == want
     assert {(x.l, x.r) for x in got} == {("a", 10.0), ("b", 99.0), ("c", 20.0), ("d", None)}
+
+
+def test_title_case_random_strings(spark):  # N8, many strings in one pass
+    import random
+
+    rng = random.Random(5)
+    alphabet = "abcXYZ éÉß-'_ 019\t"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(500)]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", X.title_case("s").alias("t")).collect()}
+    bad = [(w, got[i], w.title()) for i, w in enumerate(words) if got[i] != w.title()]
+    assert not bad, bad[:5]
