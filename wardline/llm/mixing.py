@@ -96,13 +96,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it was taken, the last copy
-    cut after the words that are taken of it.  ``mixed`` needs one row per
-    ``doc_id`` (columns ``doc_id, size, taken``); columns stay those of ``docs``."""
-    m = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    cut after the words that are taken of it.  ``mixed`` has the columns
+    ``doc_id, size, taken`` of ``mix``; columns stay those of ``docs``.  Rows
+    that repeat an id are told apart by their sizes; if these are equal too,
+    each is taken as often as the one that is taken most."""
+    m = (mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
+         .agg(F.max("taken").alias("_taken")))
     copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
     rest = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
     cut = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1),
                                rest + F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)), "")
-    rows = docs.join(m, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_copy", F.explode(copies))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))
+    rows = docs.join(m, same).withColumn("_copy", F.explode(copies))
     text = F.when(rest < F.col("_size"), cut).otherwise(F.col("text"))
     return rows.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)

@@ -71,3 +71,75 @@ def op8_mixing(spark, sf_dir):
     from wardline.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).drop("source").withColumn("target", F.round("target", 6))
+
+
+@register("op2_language")
+def op2_language(spark, sf_dir):
+    from wardline.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = (langid.remainder("doc_id", 4) == 2).alias("held_out")
+    return langid.predict(docs.select("doc_id", held_out, "text"), langid.learn(docs)).drop("text")
+
+
+@register("op4_context_mixing")
+def op4_context_mixing(spark, sf_dir):
+    from wardline.llm.context_mixing import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
+@register("op5_topk", """
+WITH v AS (SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+             AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""")
+def op5_topk(spark, sf_dir):
+    from wardline.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_near_duplicates", """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(a) >= 5 THEN list_slice(a, i, i + 4) ELSE a END AS g
+      FROM w, unnest(range(1, greatest(len(a) - 3, 2))) t(i) WHERE len(a) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT x.doc_id AS a, y.doc_id AS b FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id
+      JOIN n nx ON nx.doc_id = x.doc_id JOIN n ny ON ny.doc_id = y.doc_id
+      GROUP BY x.doc_id, y.doc_id, nx.n, ny.n HAVING 100 * count(*) >= 85 * (nx.n + ny.n - count(*))),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+""")
+def op7_near_duplicates(spark, sf_dir):
+    from wardline.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@register("op9_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY d, n >= 1000) ELSE page_id END AS keeper FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper = page_id THEN NULL ELSE keeper END AS refers_to FROM k
+""")
+def op9_warc(spark, sf_dir):
+    from wardline.llm.warc import normalise_archives, read_archives, write_archives
+
+    archives = normalise_archives(spark, write_archives(table(spark, sf_dir, "pages")))
+    return read_archives(spark, archives).drop("offset", "length")
+
+
+@register("op10_personal_data")
+def op10_personal_data(spark, sf_dir):
+    from wardline.llm.pii import digest
+
+    return digest(table(spark, sf_dir, "documents"))
