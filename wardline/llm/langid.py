@@ -4,8 +4,8 @@ word of a text, also of code-switched text, by forward-backward."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -116,6 +116,10 @@ class WordField:
         return out, expected
 
 
+#: The labeller of the model in use, kept between a worker's tasks.
+_in_worker: dict[str, "Labeller"] = {}
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -246,18 +250,19 @@ def predict(docs: DataFrame, field: WordField, *, text_col: str = "text") -> Dat
     independent; an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.moves))
 
-    @cache
-    def labeller() -> Labeller:
-        return Labeller(WordField(*model.value))
-
+    mark = uuid.uuid4().hex
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if mark not in _in_worker:
+            _in_worker.clear()
+            _in_worker[mark] = Labeller(WordField(*model.value))
+        own = _in_worker[mark]
         for batch in batches:
             texts = strings(batch.column(text_col))
             langs, scores = [], []
             for a, b in row_blocks(np.array([len(t) for t in texts], np.int64), BLOCK_BYTES):
-                x, y = labeller().predict(texts[a:b])
+                x, y = own.predict(texts[a:b])
                 langs += x
                 scores += y
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],

@@ -13,7 +13,6 @@ import random
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -333,14 +332,14 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 def _scan(weights: dict):
-    kept = cache(lambda: Field(weights))
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field(weights)
         for batch in batches:
             rows = []
             for t in strings(batch.column("text")):
-                base, added = find_spans(t, kept())
+                base, added = find_spans(t, field)
                 rows.append([{"kind": k, "start": a, "end": b, "base": (k, a, b) in base} for k, a, b in ordered(base + added)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "spans"])
 
@@ -376,7 +375,8 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     rows = add_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     base = F.filter("spans", lambda s: s["base"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.filter("spans", lambda s: s["base"] & (s["kind"] == k))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"),
                        written(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
 
