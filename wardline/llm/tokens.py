@@ -7,18 +7,24 @@ single blank, so a text is cut there and every distinct piece goes through the
 
 from __future__ import annotations
 
-import re
+import os
+from array import array
 from functools import cache
 
 import numpy as np
 import public_tokenizers
+import regex as re
 from tokenizers import Tokenizer
 
+# Spark runs one task per core; threads inside a task would only compete.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 VOCABULARY = "byte_bpe_50k.json"
 #: A blank with no other blank beside it: the only place where texts are cut.
 _LONE_BLANK = re.compile(r"(?<! ) (?! )")
+_WORD_AND_SIGNS = re.compile(r"(\p{L}+)([^\s\p{L}\p{N}]+)")
 #: Pieces kept per worker, and the longest piece worth keeping.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 500_000
 KEPT_LENGTH = 48
 
 
@@ -30,37 +36,55 @@ class PieceEncoder:
     def __init__(self, path: str, kept: int = KEPT_PIECES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        blank = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        size = self.tokenizer.get_vocab_size()
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(blank) for i in range(size)])
         self.kept = kept
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # piece without its blank -> ids of the piece with it
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of blank + word for words of letters: all in one text, which
+        falls apart where an id begins with a blank."""
+        if not words:
+            return []
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        raw, at = ids.tobytes(), (4 * np.flatnonzero(self.opens[ids])).tolist()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
 
     def _look_up(self, pieces: set[str]) -> dict[str, bytes]:
-        order = list(pieces)
-        found = self.tokenizer.encode_batch_fast(order, add_special_tokens=False)
-        return {p: np.asarray(e.ids, "<u4").tobytes() for p, e in zip(order, found)}
+        """Ids of pieces not yet known.  A word with signs behind it is two
+        tokens of the pre-tokenizer, so both are looked up alone."""
+        words, others, parts = set(), [], {}
+        for p in pieces:
+            if p.isalpha():
+                words.add(p)
+            elif m := _WORD_AND_SIGNS.fullmatch(p):
+                parts[p] = m.groups()
+            else:
+                others.append(p)
+        signs = list({x for _, x in parts.values()})
+        order = list(words.union(w for w, _ in parts.values()).difference(self.known))
+        found = dict(zip(order, self._words(order)))
+        found.update(zip(others, self._whole([" " + p for p in others])))
+        of_signs = dict(zip(signs, self._whole(signs)))
+        for p, (word, x) in parts.items():
+            found[p] = (found[word] if word in found else self.known[word]) + of_signs[x]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for t in texts:
-            parts = t.split(" ") if "  " not in t else _LONE_BLANK.split(t)
-            cut.append([parts[0], *[" " + p for p in parts[1:]]])
-        known = self.known
-        missing = set().union(*cut).difference(known) if cut else set()
-        if not missing:
-            return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        cut = [t.split(" ") if "  " not in t else _LONE_BLANK.split(t) for t in texts]
+        heads = self._whole([parts.pop(0) for parts in cut])
+        missing = set().union(*cut).difference(self.known) if cut else set()
         new = self._look_up(missing)
-        if len(known) + len(new) > self.kept:
-            known = self.known = {}
-        known.update(new)
-        try:
-            out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        except KeyError:  # older pieces were let go above
-            known.update(self._look_up(set().union(*cut).difference(known)))
-            out = [b"".join(map(known.__getitem__, parts)) for parts in cut]
-        for p in new:
-            if len(p) > KEPT_LENGTH:
-                known.pop(p, None)
-        if len(known) > self.kept:
-            self.known = {}
+        self.known.update(new)
+        get = self.known.__getitem__
+        out = [head + b"".join(map(get, parts)) for head, parts in zip(heads, cut)]
+        # frequent pieces come early: once full, later ones are not kept
+        for p in new if len(self.known) > self.kept else [p for p in new if len(p) > KEPT_LENGTH]:
+            del self.known[p]
         return out
 
 
