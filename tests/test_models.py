@@ -21,7 +21,7 @@ def planted(spark, n=3000):
 
 
 def test_models_beat_majority_baseline(spark):
-    df = M.stratified_split(planted(spark), "id")
+    df = M.stratified_split(planted(spark), "id", "y")
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
     prep = MD.fit_features(train, ["x1", "x2"], ["kind"])
     w = M.class_weights(train, "y")

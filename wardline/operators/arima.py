@@ -175,13 +175,19 @@ def forecast_arima(fit: dict, horizon: int, z: float = 1.959964) -> tuple[np.nda
 
 
 ARIMA_SCHEMA = ("series string, date date, value double, forecast double, lower double, upper double, "
-                "p int, d int, q int, sp int, sq int, aic double")
+                "p int, d int, q int, sp int, sq int, aic double, status string")
+#: Training days below which orders are not searched.
+MIN_TRAIN_DAYS = 60
 
 
-def arima_forecast(s: DataFrame, train_end: str, test_start: str, seasonal: bool | None = None) -> DataFrame:
+def arima_forecast(s: DataFrame, train_end: str, test_start: str, seasonal: bool | None = None,
+                   min_train: int = MIN_TRAIN_DAYS) -> DataFrame:
     """Fit on the training days, forecast every test day of each series.
 
-    ``seasonal=None`` decides per series from the seasonal strength (X5)."""
+    ``seasonal=None`` decides per series from the seasonal strength (X5).
+    ``status`` is ``arima``; with fewer than ``min_train`` training days it is
+    ``mean`` (their mean, the band from their spread, orders null), and
+    ``no_training`` with nulls where there are none."""
     sp = S.time_split(s, train_end, test_start)
     strength = S.seasonal_strength(S.seasonal_decompose(sp.filter(F.col("split") == "train").drop("split")))
     sp = sp.join(strength.select("series", "is_seasonal"), "series", "left")
@@ -190,15 +196,22 @@ def arima_forecast(s: DataFrame, train_end: str, test_start: str, seasonal: bool
         pdf = pdf.sort_values("date")
         tr = pdf[pdf["split"] == "train"]
         te = pdf[pdf["split"] == "test"]
-        if te.empty or len(tr) < 60:
+        if te.empty:
             return pd.DataFrame(columns=ARIMA_SCHEMA_COLS)
-        use_seasonal = bool(pdf["is_seasonal"].iloc[0]) if seasonal is None else seasonal
+        if len(tr) < min_train:
+            mean = tr["value"].mean() if len(tr) else np.nan
+            half = 1.959964 * (tr["value"].std(ddof=0) if len(tr) else np.nan)
+            return pd.DataFrame({
+                "series": te["series"].to_numpy(), "date": te["date"].to_numpy(), "value": te["value"].to_numpy(),
+                "forecast": mean, "lower": mean - half, "upper": mean + half, "p": None, "d": None, "q": None,
+                "sp": None, "sq": None, "aic": None, "status": "mean" if len(tr) else "no_training"})
+        use_seasonal = (pdf["is_seasonal"].iloc[0] is True or bool(pdf["is_seasonal"].fillna(False).iloc[0])) if seasonal is None else seasonal
         fit = select_arima(tr["value"].to_numpy(), use_seasonal)
         f, lo, hi = forecast_arima(fit, len(te))
         return pd.DataFrame({
             "series": te["series"].to_numpy(), "date": te["date"].to_numpy(), "value": te["value"].to_numpy(),
             "forecast": f, "lower": lo, "upper": hi, "p": fit["p"], "d": fit["d"], "q": fit["q"],
-            "sp": fit["P"], "sq": fit["Q"], "aic": fit["aic"],
+            "sp": fit["P"], "sq": fit["Q"], "aic": fit["aic"], "status": "arima",
         })
 
     return sp.groupBy("series").applyInPandas(run, ARIMA_SCHEMA)

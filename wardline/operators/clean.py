@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,19 +114,14 @@ def normalise_null_tokens(df: DataFrame, tokens: Iterable[str] = PANDAS_NULL_TOK
 def dedup_first(df: DataFrame, key: str, order: Iterable[str] = ()) -> DataFrame:
     """Keep the first row per ``key`` in ``order``; null keys form one group.
 
-    Written as ``min_by`` over a hash/sort aggregate rather than a window, so
-    the reduction happens map-side: a key holding a third of the table leaves
-    each map task as a single row instead of landing whole in one reducer.
+    Spark plans ``row_number() = 1`` with a group limit on either side of the
+    shuffle: each map task keeps one row per key, so a key holding a third of
+    the table never lands whole in one reducer, and every row is sent once.
     The remaining columns extend the order so the choice is deterministic.
     """
     order = list(order)
-    cols = df.columns
-    ordering = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in cols if c not in order])
-    # the key comes from the grouping column itself (not the struct), so the
-    # aggregate's hash partitioning on it stays visible to later joins
-    return df.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in cols if c != key]), ordering).alias("__r")).select(
-        *[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in cols]
-    )
+    w = Window.partitionBy(key).orderBy(*order, *[c for c in df.columns if c not in order and c != key])
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
 # -- P13, P15 --------------------------------------------------------------
@@ -154,12 +149,12 @@ def keep_top_categories(df: DataFrame, col: str, k: int) -> DataFrame:
 
 # -- P16 -------------------------------------------------------------------
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """``n`` rows chosen by a seeded hash of ``key``; a sampling operator.
+    """``n`` rows chosen by a seeded digest of ``key``; a sampling operator.
 
     ``orderBy(...).limit(n)`` plans as TakeOrderedAndProject: every task keeps
     its own top ``n`` and only those reach the final merge.
     """
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     return df.withColumn("__h", h).orderBy("__h", key).limit(n).drop("__h")
 
 

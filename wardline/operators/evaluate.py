@@ -20,11 +20,13 @@ def apply_threshold(df: DataFrame, prob: str, threshold: float = 0.5, out: str =
 
 
 # -- E1 ----------------------------------------------------------------------
-def roc_auc(df: DataFrame, label: str, score: str, buckets: int = 64, places: int | None = 4) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, buckets: int | None = None, places: int | None = 4) -> DataFrame:
     """Exact ROC-AUC (ties count half): one row ``roc_auc``.
 
     AUC = Σ_s n1(s)·(N0(< s) + ½·n0(s)) / (N0·N1) over distinct scores s.
+    ``buckets``: score ranges, by default one per shuffle partition.
     """
+    buckets = buckets or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     base = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     per = base.groupBy(F.col(score).cast("double").alias("s")).agg(
         F.sum((F.col(label) == 0).cast("long")).alias("n0"),

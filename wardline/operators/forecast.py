@@ -1,7 +1,8 @@
 """Forecasting jobs on daily series.
 
-Regressors train on Spark (``ml.GBTRegressor``, ``ml.LinearRegression``)
-over lag or calendar columns built with windows partitioned by series.
+The boosted regressor trains on Spark (``ml.GBTRegressor``) over lag columns
+built with windows partitioned by series; the calendar regression is a small
+solve per series.
 Recursion — each day's prediction feeding the next day's lags — is per
 series and bounded by the horizon, so it runs in ``applyInPandas`` with
 the model's tree table (bounded by trees × nodes) shipped to the tasks.
@@ -14,8 +15,8 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.regression import GBTRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators import series as S
@@ -41,32 +42,53 @@ def fit_boosted_regressor(train: DataFrame, seed: int = 42):
     return va, gbt.fit(va.transform(train))
 
 
+def series_scale(s: DataFrame, train_end: str) -> DataFrame:
+    """``(series, __mean, __std)`` of each series' training days."""
+    train = s.filter(F.col("date") <= F.lit(train_end).cast("date"))
+    std = F.stddev_pop("value")
+    return train.groupBy("series").agg(F.avg("value").alias("__mean"), F.when(std > 0, std).otherwise(1.0).alias("__std"))
+
+
 def boosted_forecast(s: DataFrame, train_end: str, test_start: str):
-    """Returns (model, test predictions ``(series, date, value, forecast)``)."""
-    lf = cut_lineage(lag_frame(s, train_end, test_start))
+    """Returns (model, test predictions ``(series, date, value, forecast)``).
+
+    One model serves all series: it learns on values in units of each series'
+    own training mean and spread, so series of any level can share it.  A
+    series without training days has no forecast (null)."""
+    scale = series_scale(s, train_end)
+    z = s.join(scale, "series", "left").withColumn("value", (F.col("value") - F.col("__mean")) / F.col("__std"))
+    lf = cut_lineage(lag_frame(z, train_end, test_start))
     va, model = fit_boosted_regressor(lf.filter(F.col("split") == "train"))
     test = lf.filter(F.col("split") == "test")
-    pred = model.transform(va.transform(test)).select("series", "date", "value", F.col("prediction").alias("forecast"))
-    return model, pred
+    back = lambda c: F.col(c) * F.col("__std") + F.col("__mean")
+    pred = model.transform(va.transform(test)).select("series", "date", back("prediction").alias("forecast"))
+    days = s.filter(F.col("date") >= F.lit(test_start).cast("date")).select("series", "date", "value")
+    return model, days.join(pred, ["series", "date"], "left").select("series", "date", "value", "forecast")
 
 
 # -- X10 -----------------------------------------------------------------------
-def recursive_forecast(spark, model, seeds: DataFrame, horizon: int) -> DataFrame:
+def recursive_forecast(spark, model, seeds: DataFrame, horizon: int, scale: DataFrame | None = None) -> DataFrame:
     """Predict ``horizon`` days after each series' last seed day, one day at a
     time; each prediction (floored at 0) becomes the next day's ``lag_1``.
-    ``seeds`` holds the last 7 observed days per series.  Lower = upper =
+    ``scale`` is ``series_scale`` of the data the model was fitted on.
+    ``seeds`` holds the last 7 observed days per series; with fewer, the first
+    of them stands for the day a week before.  Lower = upper =
     forecast (a tree ensemble gives no interval)."""
+    if scale is None:
+        scale = seeds.select("series", F.lit(0.0).alias("__mean"), F.lit(1.0).alias("__std")).distinct()
+    seeds = seeds.join(scale, "series")
     forest = Forest.from_pandas(tree_table(spark, model).toPandas())  # bounded by trees × nodes
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        hist = list(pdf["value"].astype(float))
+        mean, std = float(pdf["__mean"].iloc[0]), float(pdf["__std"].iloc[0])
+        hist = [(v - mean) / std for v in pdf["value"].astype(float)]
         last = pd.Timestamp(pdf["date"].iloc[-1]).date()
         out = []
         for i in range(horizon):
-            x = np.array([[hist[-1], hist[-7], float(np.mean(hist[-7:]))]])
-            p = max(0.0, float(forest.predict(x)[0]))
-            hist.append(p)
+            x = np.array([[hist[-1], hist[-min(7, len(hist))], float(np.mean(hist[-7:]))]])
+            p = max(0.0, float(forest.predict(x)[0]) * std + mean)
+            hist.append((p - mean) / std)
             out.append((pdf["series"].iloc[0], last + dt.timedelta(days=i + 1), p, p, p))
         return pd.DataFrame(out, columns=["series", "date", "forecast", "lower", "upper"])
 
@@ -75,45 +97,42 @@ def recursive_forecast(spark, model, seeds: DataFrame, horizon: int) -> DataFram
 
 
 # -- X8 ----------------------------------------------------------------------
-def calendar_features(df: DataFrame, origin: str, changepoints: list[str], yearly: int = 10, weekly: int = 3) -> DataFrame:
-    """Trend, hinge terms at changepoints and Fourier terms (yearly, weekly)."""
-    t = F.datediff("date", F.lit(origin).cast("date")).cast("double")
-    cols = {"t": t}
-    for i, cp in enumerate(changepoints):
-        cols[f"cp_{i}"] = F.greatest(F.lit(0.0), t - F.datediff(F.lit(cp).cast("date"), F.lit(origin).cast("date")))
-    for name, period, order in (("y", 365.25, yearly), ("w", 7.0, weekly)):
-        for k in range(1, order + 1):
-            ang = 2 * np.pi * k * t / period
-            cols[f"{name}s{k}"] = F.sin(ang)
-            cols[f"{name}c{k}"] = F.cos(ang)
-    return df.withColumns(cols), list(cols)
-
-
 def fourier_forecast(s: DataFrame, train_end: str, test_start: str, n_changepoints: int = 25,
-                     reg: float = 0.05, interval: float = 0.8):
-    """Additive trend + yearly + weekly seasonality, fitted by ridge
-    regression; the band is the training residuals' central ``interval``."""
-    from wardline.operators.quantiles import exact_quantiles
-
-    sp = S.time_split(s, train_end, test_start)
-    bounds = sp.filter(F.col("split") == "train").agg(F.min("date").alias("d0"), F.max("date").alias("d1")).first()
-    d0, d1 = bounds["d0"], bounds["d1"]
-    span = (d1 - d0).days
-    cps = [(d0 + dt.timedelta(days=int(round(span * 0.8 * (i + 1) / (n_changepoints + 1))))).isoformat()
-           for i in range(n_changepoints)]
-    feats, names = calendar_features(sp, d0.isoformat(), cps)
-    va = VectorAssembler(inputCols=names, outputCol="features")
-    data = cut_lineage(va.transform(feats))
-    lr = LinearRegression(labelCol="value", featuresCol="features", regParam=reg, elasticNetParam=0.0,
-                          standardization=True)
-    model = lr.fit(data.filter(F.col("split") == "train"))
-    fitted = model.transform(data).withColumnRenamed("prediction", "forecast")
-    resid = fitted.filter(F.col("split") == "train").select("series", (F.col("value") - F.col("forecast")).alias("r"))
+                     reg: float = 0.05, interval: float = 0.8) -> DataFrame:
+    """Additive trend + yearly + weekly seasonality, fitted to every series on
+    its own by ridge regression on standardised terms; the band is the
+    training residuals' central ``interval``.  ``(series, date, value,
+    forecast, lower, upper)`` per test day; a series without training days has
+    nulls.  A group holds one series, at most a row per calendar day."""
     lo_q, hi_q = (1 - interval) / 2, 1 - (1 - interval) / 2
-    qs = exact_quantiles(resid, "r", [lo_q, hi_q], ["series"]).groupBy("series").agg(
-        F.max(F.when(F.col("q") == lo_q, F.col("quantile"))).alias("__lo"),
-        F.max(F.when(F.col("q") == hi_q, F.col("quantile"))).alias("__hi"))
-    test = fitted.filter(F.col("split") == "test").join(qs, "series").select(
-        "series", "date", "value", "forecast",
-        (F.col("forecast") + F.col("__lo")).alias("lower"), (F.col("forecast") + F.col("__hi")).alias("upper"))
-    return model, test
+    cut = dt.date.fromisoformat(train_end)
+
+    def terms(days: np.ndarray, span: float) -> np.ndarray:
+        points = [round(span * 0.8 * (i + 1) / (n_changepoints + 1)) for i in range(n_changepoints)]
+        cols = [days] + [np.maximum(0.0, days - p) for p in points]
+        for period, order in ((365.25, 10), (7.0, 3)):
+            for k in range(1, order + 1):
+                cols += [np.sin(2 * np.pi * k * days / period), np.cos(2 * np.pi * k * days / period)]
+        return np.column_stack(cols)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        train, test = pdf[pdf["date"] <= cut], pdf[pdf["split"] == "test"]
+        out = test[["series", "date", "value"]].assign(forecast=np.nan, lower=np.nan, upper=np.nan)
+        if len(train):
+            first = train["date"].iloc[0]
+            days = lambda d: np.array([(x - first).days for x in d], dtype=float)
+            span = days(train["date"])[-1]
+            x, y = terms(days(train["date"]), span), train["value"].to_numpy(float)
+            mean, std = x.mean(axis=0), x.std(axis=0)
+            std[std == 0] = 1.0
+            z = (x - mean) / std
+            beta = np.linalg.solve(z.T @ z / len(y) + reg * np.eye(z.shape[1]), z.T @ (y - y.mean()) / len(y))
+            lo, hi = np.quantile(y - y.mean() - z @ beta, [lo_q, hi_q])
+            if len(test):
+                out["forecast"] = y.mean() + (terms(days(test["date"]), span) - mean) / std @ beta
+                out["lower"], out["upper"] = out["forecast"] + lo, out["forecast"] + hi
+        return out
+
+    return S.time_split(s, train_end, test_start).select("series", "date", "value", "split").groupBy("series").applyInPandas(
+        run, "series string, date date, value double, forecast double, lower double, upper double")

@@ -1,49 +1,69 @@
 """Model preparation: splits, folds, imputation, scaling, defaults, weights.
 
-Splits and folds are drawn from an integer hash of the row id, so they are
-deterministic, need no shuffle, and are reproducible by any SQL engine.
-Every fitted statistic (median, mode, mean, std) is one aggregate over the
-training rows; the fitted values are one-row DataFrames joined back as a
-broadcast (their size is the number of feature columns, not of rows).
+Splits and folds rank the rows of every class by a seeded digest of the row
+id, so they are deterministic, hold exact shares of each class, and can be
+written as ``row_number()`` in any SQL engine.  Every fitted statistic (median,
+mode, mean, std) is one aggregate over the training rows; the fitted values
+are one-row DataFrames joined back as a broadcast (their size is the number of
+feature columns, not of rows).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.operators.quantiles import DEFAULT_ACCURACY, quantile_table
 
-_M = 2147483648  # 2**31
+BUCKET_DIGITS = 3  # leading hex digits of the draw: 4,096 buckets per class
 
 
-def unit_hash(c: Column | str, seed: int = 42) -> Column:
-    """A uniform number in [0, 1) from an integer id: two multiply-xorshift
-    rounds modulo 2**31 (no 64-bit overflow, same result in any SQL)."""
-    x = F.col(c) if isinstance(c, str) else c
-    x = ((x % _M) + _M) % _M
-    x = (x * 1103515245 + (12345 + seed)) % _M
-    x = x.bitwiseXOR(F.shiftright(x, 13))
-    x = (x * 1664525 + 1013904223) % _M
-    x = x.bitwiseXOR(F.shiftright(x, 16))
-    return x.cast("double") / float(_M)
+def draw(id_col: str, seed: int) -> Column:
+    """A seeded digest of the id; different seeds give independent orders."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+
+
+def stratified_parts(df: DataFrame, id_col: str, label: str, shares: Sequence[float], seed: int, out: str) -> DataFrame:
+    """Adds the integer ``out``: with ``n`` rows of a class ranked by
+    ``draw``, how many of the cuts ``floor(n * share + 0.5)`` a row's rank has
+    reached.  Class sizes are exact; a missing label is a class of its own.
+
+    No class is sorted: rows are counted per (class, leading digits of the
+    draw), running counts settle every bucket that no cut falls into, and only
+    the few buckets that hold a cut are ranked.  The bucket table has at most
+    4,096 rows per class, so it is broadcast.
+    """
+    tagged = df.withColumn("__d", draw(id_col, seed)).withColumn("__b", F.substring("__d", 1, BUCKET_DIGITS))
+    counts = tagged.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy("__l").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.sum("__c").over(Window.partitionBy("__l"))
+    cuts = F.array(*[F.floor(n * F.lit(float(s)) + 0.5) for s in shares])
+    reached = lambda rank: F.size(F.filter("__cuts", lambda m: m <= rank))
+    bounds = counts.withColumns({"__start": F.coalesce(F.sum("__c").over(before), F.lit(0)), "__cuts": cuts}).withColumns(
+        {"__p0": reached(F.col("__start")), "__p1": reached(F.col("__start") + F.col("__c") - 1)}).drop("__c")
+    j = tagged.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__k")))
+    inside = Window.partitionBy("__l", "__k").orderBy("__d", id_col)
+    clear = j.filter(F.col("__p0") == F.col("__p1")).withColumn(out, F.col("__p0"))
+    at_cut = j.filter(F.col("__p0") != F.col("__p1")).withColumn("__r", F.col("__start") + F.row_number().over(inside) - 1)
+    at_cut = at_cut.withColumn(out, reached(F.col("__r"))).drop("__r")
+    return clear.unionByName(at_cut).select(*df.columns, out)
 
 
 # -- T1 ----------------------------------------------------------------------
-def stratified_split(df: DataFrame, id_col: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
-    """Adds ``split`` ∈ {train, test}.  Every row draws ``u = hash(id)``;
-    ``u < 1 - test_size`` is train.  ``u`` is independent of the label, so
-    each class keeps its share in expectation with no per-class sort or
-    shuffle (an exact-count split would need a global rank per class)."""
-    return df.withColumn("split", F.when(unit_hash(id_col, seed) < 1 - test_size, "train").otherwise("test"))
+def stratified_split(df: DataFrame, id_col: str, label: str, test_size: float = 0.2, seed: int = 42) -> DataFrame:
+    """Adds ``split`` ∈ {train, test}: ``floor(n * (1 - test_size) + 0.5)``
+    rows of every class are train."""
+    parts = stratified_parts(df, id_col, label, [1 - test_size], seed, "__part")
+    return parts.withColumn("split", F.when(F.col("__part") == 0, "train").otherwise("test")).drop("__part")
 
 
 # -- T3 ----------------------------------------------------------------------
-def assign_folds(df: DataFrame, id_col: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    """Integer fold ``0..k-1`` from an independent hash (seed + 1)."""
-    return df.withColumn(out, F.floor(unit_hash(id_col, seed + 1) * k).cast("int"))
+def assign_folds(df: DataFrame, id_col: str, label: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
+    """Integer fold ``0..k-1``, equal shares of every class, from a draw that
+    is independent of the split's."""
+    return stratified_parts(df, id_col, label, [j / k for j in range(1, k)], seed + 1, out)
 
 
 # -- P6 helpers ----------------------------------------------------------------

@@ -15,7 +15,6 @@ import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -67,7 +66,7 @@ def fit_features(train: DataFrame, num: Sequence[str], cat: Sequence[str]) -> Fe
 
 def design(df: DataFrame, prep: FeaturePrep, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns + ``features``, with lineage cut (reliable checkpoint)."""
-    return cut_lineage(prep.transform(df).select(*keep, "features")).persist(StorageLevel.MEMORY_AND_DISK)
+    return cut_lineage(prep.transform(df).select(*keep, "features"))
 
 
 # -- M9-M11 ------------------------------------------------------------------
@@ -132,17 +131,22 @@ def sample_grid(grid: Mapping[str, Sequence], n_iter: int, seed: int = 42) -> li
 
 
 def random_search(estimator, param_maps: list[dict], train: DataFrame, label: str, fold_col: str, folds: int = 5,
-                  parallelism: int | None = None):
+                  parallelism: int = 4):
     """Cross-validated ROC-AUC for each parameter map (folds from a column),
-    then a refit of the best map on all training rows."""
-    maps = [{estimator.getParam(k): v for k, v in pm.items()} for pm in param_maps]
-    if parallelism is None:  # concurrent fits; each fit's jobs also use the cores
-        parallelism = max(1, min(4, train.sparkSession.sparkContext.defaultParallelism // 2))
+    then a refit of the best map on all training rows.  Maps that say the same
+    are fitted once.  ``parallelism`` bounds concurrent fits (each fit's jobs
+    use the cores too).  Returns the fitted search and the metric of every map
+    as given."""
+    keys = [tuple(sorted(pm.items())) for pm in param_maps]
+    distinct = list(dict.fromkeys(keys))
+    maps = [{estimator.getParam(k): v for k, v in key} for key in distinct]
     ev = BinaryClassificationEvaluator(labelCol=label, rawPredictionCol="rawPrediction",
                                        metricName="areaUnderROC", numBins=0)
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=maps, evaluator=ev, numFolds=folds,
                         foldCol=fold_col, parallelism=parallelism, seed=42)
-    return cv.fit(train)
+    found = cv.fit(train)
+    metric = dict(zip(distinct, found.avgMetrics))
+    return found, [metric[k] for k in keys]
 
 
 # The reference's search grids, and how each maps onto Spark.

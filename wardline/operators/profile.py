@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
-from wardline.operators.quantiles import DEFAULT_ACCURACY, long_values, quantile_table
-from wardline.session import cut_lineage
+from wardline.operators.quantiles import DEFAULT_ACCURACY, exact_quantiles, long_values, quantile_table
 
 
 def _long_text(df: DataFrame, cols: Sequence[str], by: Iterable[str] = (), name="feature", value="category"):
@@ -156,13 +155,15 @@ def histogram(df: DataFrame, col: str, bins: int = 40, by: str | None = None) ->
 
 
 # -- A22 -------------------------------------------------------------------
-def box_stats(df: DataFrame, col: str, by: str | None = None, whis: float = 1.5,
+def box_stats(df: DataFrame, col: str, by: str | Sequence[str] | None = None, whis: float = 1.5,
               accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
     """Quartiles, 1.5·IQR whiskers (most extreme data inside the fences) and
-    outlier count, per group."""
-    keys = [by] if by else []
-    base = df.filter(F.col(col).isNotNull() & (F.col(by).isNotNull() if by else F.lit(True)))
-    q = quantile_table(base, [col], [0.25, 0.5, 0.75], keys, ["q1", "median", "q3"], accuracy).drop("feature")
+    outlier count, per group (rows with a missing group value are left out)."""
+    keys = [by] if isinstance(by, str) else list(by or ())
+    base = df.filter(F.col(col).isNotNull()).dropna(subset=keys) if keys else df.filter(F.col(col).isNotNull())
+    long = exact_quantiles(base, col, [0.25, 0.5, 0.75], keys, accuracy)
+    q = long.groupBy(*keys).agg(*[F.max(F.when(F.col("q") == p, F.col("quantile"))).alias(n)
+                                  for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     fences = q.withColumns({"__lf": F.col("q1") - whis * F.col("iqr"), "__uf": F.col("q3") + whis * F.col("iqr")})
     joined = base.join(fences, keys, "inner") if by else base.crossJoin(F.broadcast(fences))
@@ -178,49 +179,30 @@ def box_stats(df: DataFrame, col: str, by: str | None = None, whis: float = 1.5,
 
 
 # -- A23, A24 --------------------------------------------------------------
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]], stage: bool = True) -> DataFrame:
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pairwise-complete Pearson for each ``(x, y)`` pair: one row, one
     column ``{x}__{y}`` per pair; zero variance or < 2 rows → null.
 
-    Two passes of plain sums (hash-aggregated, codegen-friendly): the column
-    means, then per pair the count and the sums of shifted values, squares
-    and cross-products over the rows where both are present.  Shifting by
-    the mean keeps ``Σd² − (Σd)²/n`` free of cancellation even when a column
-    has a large mean and a small spread.
+    One pass: Spark's covariance and variance aggregates update central
+    moments, so large means with small spreads do not cancel; rows where
+    either value is missing are left out of all three.
     """
-    cols = sorted({c for p in pairs for c in p})
-    if stage:  # both passes read one narrow checkpoint instead of recomputing the input twice
-        df = cut_lineage(df.select(*cols))
-    shift = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"__m_{c}") for c in cols])
-    # shifted columns projected once, so each aggregate reads a plain column
-    j = df.select(*cols).crossJoin(F.broadcast(shift)).select(
-        *[(F.col(c).cast("double") - F.col(f"__m_{c}")).alias(c) for c in cols])
-    aggs = []
-    for a, b in pairs:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        da, db = F.when(both, F.col(a)), F.when(both, F.col(b))
-        k = f"{a}__{b}"
-        aggs += [F.count(da).alias(f"{k}__n"), F.sum(da).alias(f"{k}__sa"), F.sum(db).alias(f"{k}__sb"),
-                 F.sum(da * da).alias(f"{k}__saa"), F.sum(db * db).alias(f"{k}__sbb"), F.sum(da * db).alias(f"{k}__sab")]
-    sums = j.agg(*aggs)
     out = []
     for a, b in pairs:
-        k = f"{a}__{b}"
-        n, sa, sb = F.col(f"{k}__n").cast("double"), F.col(f"{k}__sa"), F.col(f"{k}__sb")
-        cov = F.col(f"{k}__sab") - sa * sb / n
-        va = F.col(f"{k}__saa") - sa * sa / n
-        vb = F.col(f"{k}__sbb") - sb * sb / n
-        r = F.when((n >= 2) & (va > 0) & (vb > 0), cov / F.sqrt(va * vb))
-        out.append(r.alias(k))
-    return sums.select(*out)
+        x, y = F.col(a).cast("double"), F.col(b).cast("double")
+        both = x.isNotNull() & y.isNotNull()
+        va, vb = F.var_samp(F.when(both, x)), F.var_samp(F.when(both, y))
+        r = F.when((va > 0) & (vb > 0), F.covar_samp(x, y) / (F.sqrt(va) * F.sqrt(vb)))
+        out.append(r.alias(f"{a}__{b}"))
+    return df.agg(*out)
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str], stage: bool = True) -> DataFrame:
+def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Long ``(x, y, corr)`` for every ordered pair, diagonal 1 (null when constant)."""
     cols = list(cols)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     diag = [(c, c) for c in cols]
-    one = pair_correlations(df, pairs + diag, stage)
+    one = pair_correlations(df, pairs + diag)
     rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
     rows += [F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
     rows += [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"),
@@ -228,15 +210,15 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], stage: bool = True) -> DataF
     return one.select(F.explode(F.array(*rows)).alias("__r")).select("__r.*")
 
 
-def corr_with(df: DataFrame, target: str, cols: Sequence[str], stage: bool = True) -> DataFrame:
-    one = pair_correlations(df, [(c, target) for c in cols], stage)
+def corr_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
+    one = pair_correlations(df, [(c, target) for c in cols])
     return one.select(*[F.col(f"{c}__{target}").alias(c) for c in cols]).unpivot([], list(cols), "feature", "corr")
 
 
 def corr_top(df: DataFrame, target: str, cols: Sequence[str], k: int) -> DataFrame:
     """Top ``k`` features by absolute correlation with ``target`` (a top-k report)."""
     c = corr_with(df, target, cols).filter(F.col("corr").isNotNull())
-    return c.orderBy(F.desc(F.abs("corr")), "feature").limit(k)
+    return c.orderBy(F.desc(F.rint(F.abs("corr") * 1e9)), "feature").limit(k)  # equal to nine places: a tie
 
 
 # -- A25 -------------------------------------------------------------------

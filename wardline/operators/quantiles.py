@@ -24,37 +24,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
-FINE_PROBES = 1000
-REFINE_ABOVE_ROWS = 2_000_000_000  # estimated rows above which the band is narrowed once more
-
-
-def estimated_rows(df: DataFrame) -> float:
-    """Catalyst's size estimate of ``df`` in rows (no job runs)."""
-    try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-
-        def num(x):  # py4j may hand back a Python int, None, or a JVM Option/BigInt
-            if x is None or isinstance(x, (int, float)):
-                return x
-            if hasattr(x, "isDefined"):
-                return num(x.get()) if x.isDefined() else None
-            return float(x.toString())
-
-        rc = num(stats.rowCount())
-        if rc is not None:
-            return float(rc)
-        width = max(8, sum(f.dataType.defaultSize() for f in df.schema.fields))
-        return float(num(stats.sizeInBytes())) / width
-    except Exception:  # estimates unavailable: assume small
-        return 0.0
-
-
-def _ranked_pick(base: DataFrame, bands: DataFrame, by: list[str]) -> DataFrame:
+def _ranked_pick(base: DataFrame, bands: DataFrame, by: list[str], few: bool) -> DataFrame:
     """One pass over ``base`` ⋈ ``bands``: rows below / inside / above each
     band become (class, value, multiplicity) rows — two summary rows plus the
     distinct in-band values — ranked by one window per (group, q)."""
     keys = [*by, "q"]
-    joined = base.join(bands, by, "inner") if by else base.crossJoin(F.broadcast(bands))
+    # ``few``: the caller knows that the number of groups does not grow with the data
+    joined = base.join(F.broadcast(bands) if few else bands, by, "inner") if by else base.crossJoin(F.broadcast(bands))
     v, lo, hi = F.col("__v"), F.col("lo"), F.col("hi")
     cls = F.when(v < lo, 0).when(v > hi, 2).otherwise(1)
     red = joined.groupBy(*keys, cls.alias("__c"), F.when(cls == 1, v).alias("__iv")).agg(
@@ -93,13 +69,12 @@ def exact_quantiles(
     qs: Sequence[float],
     by: Iterable[str] = (),
     accuracy: int = DEFAULT_ACCURACY,
-    refine: bool | None = None,
+    few: bool = False,
 ) -> DataFrame:
     """Rows ``(*by, q, quantile)``; null values are ignored, empty groups absent.
 
-    ``refine`` adds one pass that sketches the in-band values again and
-    narrows each band to ≈ 16·n/accuracy² values; ``None`` turns it on when
-    Catalyst estimates more than ``REFINE_ABOVE_ROWS`` input rows.
+    ``few`` says that there are a fixed number of groups (such as a list of
+    column names), so that the band table is small and may be broadcast.
     """
     by = list(by)
     eps = 2.0 / accuracy
@@ -108,8 +83,6 @@ def exact_quantiles(
     idx = {p: i for i, p in enumerate(probes)}
 
     base = df.select(*by, F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
-    if refine is None:
-        refine = estimated_rows(base) > REFINE_ABOVE_ROWS
     sketch = base.groupBy(*by).agg(
         F.count("__v").alias("__n"),
         F.percentile_approx("__v", probes, accuracy).alias("__a"),
@@ -136,37 +109,7 @@ def exact_quantiles(
         "__r0": F.floor("__h").cast("long"),
         "__r1": F.least(F.floor("__h").cast("long") + 1, F.col("__n") - 1),
     })
-    if refine:
-        bands = _refine(base, bands, by, accuracy)
-    return _ranked_pick(base, bands, by)
-
-
-def _refine(base: DataFrame, bands: DataFrame, by: list[str], accuracy: int) -> DataFrame:
-    """Narrow each band with a fine sketch of its own values: the target
-    ranks, shifted by the count below the band, pick the bracketing probes."""
-    keys = [*by, "q"]
-    fine = [i / FINE_PROBES for i in range(FINE_PROBES + 1)]
-    joined = base.join(bands, by, "inner") if by else base.crossJoin(F.broadcast(bands))
-    v, lo, hi = F.col("__v"), F.col("lo"), F.col("hi")
-    inb = (v >= lo) & (v <= hi)
-    st = joined.groupBy(*keys).agg(
-        F.sum((v < lo).cast("long")).alias("__below"),
-        F.sum(inb.cast("long")).alias("__inb"),
-        F.percentile_approx(F.when(inb, v), fine, accuracy).alias("__f"),
-    )
-    b = bands.join(st, keys, "inner")
-    denom = F.greatest(F.col("__inb") - 1, F.lit(1)).cast("double")
-    slack = 2.0 / accuracy + 1.0 / FINE_PROBES
-    q_lo = (F.col("__r0") - F.col("__below")).cast("double") / denom - slack
-    q_hi = (F.col("__r1") - F.col("__below")).cast("double") / denom + slack
-    i_lo = F.greatest(F.floor(q_lo * FINE_PROBES), F.lit(0)).cast("int") + 1
-    i_hi = F.least(F.ceil(q_hi * FINE_PROBES), F.lit(FINE_PROBES)).cast("int") + 1
-    new_lo = F.when(F.col("__inb") > 0, F.element_at("__f", i_lo)).otherwise(F.col("lo"))
-    new_hi = F.when(F.col("__inb") > 0, F.element_at("__f", i_hi)).otherwise(F.col("hi"))
-    # keep the band closed at the extremes it already reached
-    return b.select(*keys, "__n", "__h", "__r0", "__r1",
-                    F.when(F.col("lo") == float("-inf"), F.col("lo")).otherwise(new_lo).alias("lo"),
-                    F.when(F.col("hi") == float("inf"), F.col("hi")).otherwise(new_hi).alias("hi"))
+    return _ranked_pick(base, bands, by, few)
 
 
 def long_values(df: DataFrame, cols: Sequence[str], by: Iterable[str] = (), name: str = "feature") -> DataFrame:
@@ -180,12 +123,12 @@ def long_values(df: DataFrame, cols: Sequence[str], by: Iterable[str] = (), name
 
 def quantile_table(
     df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: Iterable[str] = (), names: Sequence[str] | None = None,
-    accuracy: int = DEFAULT_ACCURACY, refine: bool | None = None,
+    accuracy: int = DEFAULT_ACCURACY,
 ) -> DataFrame:
     """Wide ``(*by, feature, <name per q>)`` table of exact quantiles."""
     by = list(by)
     names = list(names) if names else [f"q{int(round(q * 100))}" for q in qs]
-    long = exact_quantiles(long_values(df, cols, by), "value", qs, [*by, "feature"], accuracy, refine)
+    long = exact_quantiles(long_values(df, cols, by), "value", qs, [*by, "feature"], accuracy, few=not by)
     out = long.groupBy(*by, "feature").agg(*[
         F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(n) for q, n in zip(qs, names)
     ])

@@ -1,14 +1,14 @@
 """Risk bands, patient risk profiles, flags and forecast reporting.
 
 All row-level: column expressions only, no shuffle, except the forecast
-KPIs (one aggregate per series).
+KPIs (one aggregate per series) and the one-row defaults, which are broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import exprs as X
@@ -40,7 +40,6 @@ FLAG_TEXT = {
     "los": "LOS ≥ 7 days",
     "charlson": "Charlson ≥ 3",
     "prior": "≥ 3 Prior Admissions",
-    "comorbid": "{n} Comorbidities",
     "emergency": "Emergency Admission",
 }
 # ---------------------------------------------------------------------------
@@ -73,16 +72,16 @@ def _map(col: str, mapping: dict) -> Column:
 
 def _profile(df: DataFrame, key: str, factors: list[tuple[str, Column]]) -> DataFrame:
     """Long profile ``(key, factor, value, level, position)``; ``position``
-    is the ascending order the chart uses (ties keep the factor order)."""
-    rows = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("__i"), F.lit(name).alias("factor"), expr.cast("double").alias("value"))
-        for i, (name, expr) in enumerate(factors)
-    ])).alias("__f")
-    long = df.select(key, rows).select(key, "__f.*")
-    level = F.when(F.col("value") > LEVEL_EDGES[1], "high").when(F.col("value") > LEVEL_EDGES[0], "moderate").when(
-        F.col("value").isNotNull(), "low")
-    w = Window.partitionBy(key).orderBy(F.col("value").asc_nulls_last(), "__i")  # ≤ 8 rows per partition
-    return long.withColumns({"level": level, "position": F.row_number().over(w)}).drop("__i")
+    is the ascending order the chart uses (ties keep the factor order).  The
+    few values of a row are sorted inside the row: no shuffle."""
+    items = []
+    for i, (name, expr) in enumerate(factors):
+        v = expr.cast("double")
+        items.append(F.struct(v.isNull().alias("__n"), v.alias("value"), F.lit(i).alias("__i"), F.lit(name).alias("factor")))
+    long = df.select(key, F.posexplode(F.sort_array(F.array(*items))).alias("__p", "__f"))
+    value = F.col("__f.value")
+    level = F.when(value > LEVEL_EDGES[1], "high").when(value > LEVEL_EDGES[0], "moderate").when(value.isNotNull(), "low")
+    return long.select(key, "__f.factor", value.alias("value"), level.alias("level"), (F.col("__p") + 1).alias("position"))
 
 
 # -- R4, R6 ------------------------------------------------------------------

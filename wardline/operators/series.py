@@ -27,7 +27,7 @@ def daily_sum(df: DataFrame, date_col: str, value_col: str, series: Column | str
     return (
         df.filter(F.col(date_col).isNotNull())
         .groupBy(key.alias(SERIES), F.to_date(date_col).alias("date"))
-        .agg(F.sum(F.col(value_col)).cast("double").alias("value"))
+        .agg(F.coalesce(F.sum(F.col(value_col)), F.lit(0)).cast("double").alias("value"))  # all-missing sum is 0
     )
 
 

@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardline.operators import clean as C
-from wardline.operators import ml_prep as M
 from wardline.operators import profile as PR
 from wardline.operators import quality as Q
 from wardline.plans import clinical as K
 from wardline.plans import oracle as O
 from wardline.plans.catalog import cleaned, master, register, tables
-from wardline.plans.ml_queries import hash_sql
 from wardline.plans.reports import RAW_COLS
 
 _TOKENS = ", ".join("'" + t.replace("'", "''") + "'" for t in C.PANDAS_NULL_TOKENS)
@@ -133,7 +131,7 @@ def _high_alert_rate_top(spark, sf_dir):
 # -- P16 -----------------------------------------------------------------------
 @register("seeded_sample", O.with_ctes(f"""
 SELECT admission_id, length_of_stay_days, total_charges_usd, readmitted_within_30d FROM master
-ORDER BY {hash_sql('admission_id', 42)}, admission_id LIMIT 500""", "master"))
+ORDER BY md5('42:' || CAST(admission_id AS VARCHAR)), admission_id LIMIT 500""", "master"))
 def _seeded_sample(spark, sf_dir):
     m = master(spark, sf_dir).select("admission_id", "length_of_stay_days", "total_charges_usd", K.TARGET)
-    return m.withColumn("__u", M.unit_hash("admission_id", 42)).orderBy("__u", "admission_id").limit(500).drop("__u")
+    return C.seeded_sample(m, 500, "admission_id", 42)

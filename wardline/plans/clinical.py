@@ -31,6 +31,33 @@ COMORBIDITY_COLS = [
     "has_diabetes", "has_hypertension", "has_heart_disease", "has_copd",
     "has_ckd", "has_depression", "has_obesity", "has_cancer",
 ]
+EDA_NUMERIC = [
+    "length_of_stay_days", "total_charges_usd", "icu_days",
+    "age", "charlson_comorbidity_index", "total_comorbidities",
+    "num_medications", "num_lab_tests", "num_diagnoses",
+    "num_vital_readings", "systolic_bp_mean", "heart_rate_mean",
+    "spo2_percent_mean", "news2_score_mean", "num_ed_visits",
+    "cost_per_day", "out_of_pocket_cost",
+]
+EDA_CATEGORICAL = [
+    "admission_type", "admission_source", "discharge_disposition",
+    "insurance_type", "gender", "ethnicity",
+    "smoking_status", "alcohol_use", "age_group",
+]
+EDA_PAIRS = [
+    "length_of_stay_days", "num_diagnoses", "num_medications",
+    "charlson_comorbidity_index", "news2_score_mean",
+]
+TITLE_COLS = {
+    "admissions": ["admission_type", "admission_source", "discharge_disposition"],
+    "patients": ["gender", "ethnicity", "insurance_type", "smoking_status", "alcohol_use", "language_preference"],
+    "ed_visits": ["triage_category"],
+    "medications": ["drug_class"],
+}
+LOWER_ZERO = {
+    "admissions": ["length_of_stay_days", "total_charges_usd", "insurance_paid_usd", "icu_days"],
+    "ed_visits": ["wait_time_minutes", "door_to_doctor_min", "ed_los_minutes"],
+}
 PII_COLS = ["first_name", "last_name", "mrn"]
 VITAL_RANGES = {
     "systolic_bp": (50, 300),
@@ -71,18 +98,16 @@ def _dedup(df: DataFrame, table: str) -> DataFrame:
 def clean_admissions(df: DataFrame) -> DataFrame:
     df = _dedup(df, "admissions")
     df = C.coerce_datetimes(df, DATETIME_COLS["admissions"])
-    df = C.clip_columns(df, {c: (0, None) for c in
-                             ["length_of_stay_days", "total_charges_usd", "insurance_paid_usd", "icu_days"]})
+    df = C.clip_columns(df, {c: (0, None) for c in LOWER_ZERO["admissions"]})
     df = C.fill_cast_int(df, ["readmitted_within_30d"])
-    return C.title_columns(df, ["admission_type", "admission_source", "discharge_disposition"])
+    return C.title_columns(df, TITLE_COLS["admissions"])
 
 
 def clean_patients(df: DataFrame) -> DataFrame:
     df = _dedup(df, "patients")
     df = C.coerce_datetimes(df, DATETIME_COLS["patients"])
     df = C.drop_columns(df, PII_COLS)
-    df = C.title_columns(df, ["gender", "ethnicity", "insurance_type",
-                              "smoking_status", "alcohol_use", "language_preference"])
+    df = C.title_columns(df, TITLE_COLS["patients"])
     df = C.fill_constant(df, {"alcohol_use": "Unknown", "smoking_status": "Unknown"})
     return C.clip_columns(df, {"social_support_score": (0, 10)})
 
@@ -96,8 +121,8 @@ def clean_diagnoses(df: DataFrame) -> DataFrame:
 def clean_ed_visits(df: DataFrame) -> DataFrame:
     df = _dedup(df, "ed_visits")
     df = C.coerce_datetimes(df, DATETIME_COLS["ed_visits"])
-    df = C.clip_columns(df, {c: (0, None) for c in ["wait_time_minutes", "door_to_doctor_min", "ed_los_minutes"]})
-    return C.title_columns(df, ["triage_category"])
+    df = C.clip_columns(df, {c: (0, None) for c in LOWER_ZERO["ed_visits"]})
+    return C.title_columns(df, TITLE_COLS["ed_visits"])
 
 
 def clean_lab_results(df: DataFrame) -> DataFrame:
@@ -111,7 +136,7 @@ def clean_medications(df: DataFrame) -> DataFrame:
     df = _dedup(df, "medications")
     df = C.coerce_datetimes(df, DATETIME_COLS["medications"])
     df = C.fill_cast_int(df, ["is_high_alert"])
-    return C.title_columns(df, ["drug_class"])
+    return C.title_columns(df, TITLE_COLS["medications"])
 
 
 def clean_vitals(df: DataFrame) -> DataFrame:
@@ -246,10 +271,12 @@ def integrate(features: dict[str, DataFrame]) -> DataFrame:
     master = features["admissions"]
     for name in ("vitals_agg", "lab_agg", "med_agg", "diag_agg"):
         master = merge(master, features[name], "admission_id", "left")
-    # patients are de-duplicated on patient_id (one null-key row at most);
-    # the ED rollup has dropped null keys, so a plain equi-join is exact
-    master = merge(master, features["patients"], "patient_id", "left", null_safe=True, right_unique=True)
-    master = merge(master, features["ed_agg"], "patient_id", "left")
+    # patients are de-duplicated on patient_id (one null-key row at most) and the
+    # ED rollup has one row per non-null key: both are joined first, at patient
+    # grain, so that the widened admissions are shuffled on patient_id once and
+    # by a plain join, which AQE can split where one patient is hot
+    people = merge(features["patients"], features["ed_agg"], "patient_id", "outer")
+    master = merge(master, people, "patient_id", "left", null_safe=True, right_unique=True)
     return C.fill_prefix(master, "num_", 0)
 
 

@@ -21,20 +21,16 @@ IMPUTE_CAT = ["age_group", "smoking_status", "admission_type"]
 OVERLAY_EXTRA = ["bmi", "num_lab_tests", "avg_ed_wait_minutes", "ethnicity"]
 
 
-def hash_sql(c: str, seed: int) -> str:
-    """SQL twin of ``ml_prep.unit_hash``."""
-    m = 2147483648
-    x = f"((({c} % {m}) + {m}) % {m})"
-    x = f"(({x} * 1103515245 + {12345 + seed}) % {m})"
-    x = f"xor({x}, {x} >> 13)"
-    x = f"(({x} * 1664525 + 1013904223) % {m})"
-    x = f"xor({x}, {x} >> 16)"
-    return f"(CAST({x} AS DOUBLE) / {m}.0e0)"
+def rank_sql(src: str, label: str, seed: int) -> str:
+    """Rows of ``src`` with their rank ``rk`` in the class and its size ``cn``."""
+    return (f"SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('{seed}:' || CAST(admission_id AS VARCHAR)), "
+            f"admission_id) - 1 AS rk, count(*) OVER (PARTITION BY {label}) AS cn FROM {src}")
 
 
 SPLIT_SQL = {
     "sp": f"""
-  SELECT *, CASE WHEN {hash_sql('admission_id', SEED)} < 0.8 THEN 'train' ELSE 'test' END AS split FROM master""",
+  SELECT * EXCLUDE (rk, cn), CASE WHEN rk < floor(cn * 0.8e0 + 0.5) THEN 'train' ELSE 'test' END AS split
+  FROM ({rank_sql('master', T, SEED)})""",
 }
 
 
@@ -43,7 +39,7 @@ def q(body: str, extra: dict[str, str] | None = None) -> str:
 
 
 def split_master(spark, sf_dir):
-    return M.stratified_split(master(spark, sf_dir), "admission_id", 0.2, SEED)
+    return M.stratified_split(master(spark, sf_dir), "admission_id", T, 0.2, SEED)
 
 
 # -- T1, T3 --------------------------------------------------------------------
@@ -53,11 +49,11 @@ def _stratified_split(spark, sf_dir):
 
 
 @register("cv_folds", q(f"""
-SELECT admission_id, {T}, CAST(floor({hash_sql('admission_id', SEED + 1)} * 5) AS INTEGER) AS fold
-FROM sp WHERE split = 'train'"""))
+SELECT admission_id, {T}, CAST({' + '.join(f'CAST(rk >= floor(cn * {j / 5!r}e0 + 0.5) AS INTEGER)' for j in range(1, 5))} AS INTEGER) AS fold
+FROM ({rank_sql("(SELECT * FROM sp WHERE split = 'train')", T, SEED + 1)})"""))
 def _cv_folds(spark, sf_dir):
     tr = split_master(spark, sf_dir).filter(F.col("split") == "train")
-    return M.assign_folds(tr, "admission_id", 5, SEED).select("admission_id", T, "fold")
+    return M.assign_folds(tr, "admission_id", T, 5, SEED).select("admission_id", T, "fold")
 
 
 # -- M1-M3 ---------------------------------------------------------------------
@@ -282,8 +278,18 @@ def _overlay_defaults(spark, sf_dir):
     d = M.feature_defaults(m, num, cat)
     wide = d.agg(*[F.max(F.when(F.col("feature") == c, F.col("num_default" if c in num else "cat_default"))).alias(c)
                    for c in cols])
-    inputs = M.stratified_split(m, "admission_id", 0.2, SEED).filter(F.col("split") == "test").select(
+    inputs = M.stratified_split(m, "admission_id", T, 0.2, SEED).filter(F.col("split") == "test").select(
         "admission_id", *K.READMISSION_INPUTS)
     out = R.overlay_defaults(inputs.select("admission_id", *[F.col(c).cast("double") if c in num else F.col(c)
                                                              for c in K.READMISSION_INPUTS]), wide)
     return out
+
+
+# -- R3 --------------------------------------------------------------------------
+@register("risk_band_scores", O.with_ctes(f"""
+SELECT admission_id, {SCORE} AS probability,
+  CASE WHEN {SCORE} < 0.3 THEN 'Low Risk' WHEN {SCORE} < 0.6 THEN 'Moderate Risk' WHEN {SCORE} IS NOT NULL THEN 'High Risk' END AS risk_band
+FROM master""", "master"))
+def _risk_band_scores(spark, sf_dir):
+    """Bands of a score that needs no model."""
+    return master(spark, sf_dir).select("admission_id", F.col(SCORE).alias("probability"), R.risk_band(SCORE).alias("risk_band"))

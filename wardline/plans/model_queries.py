@@ -18,8 +18,9 @@ from wardline.operators import ml_prep as M
 from wardline.operators import models as MD
 from wardline.operators import risk as R
 from wardline.plans import clinical as K
-from wardline.plans.catalog import master, register
+from wardline.plans.catalog import MASTER_INPUTS, master, register
 from wardline.session import cut_lineage
+from wardline.sources.tables import input_fingerprint
 
 T = K.TARGET
 ID = "admission_id"
@@ -40,7 +41,7 @@ class Job:
         self.target = target
         # cut lineage once: every fit below reads the split master from the
         # checkpoint instead of re-running the cleaning joins
-        sp = cut_lineage(M.stratified_split(m, ID, 0.2, 42))
+        sp = cut_lineage(M.stratified_split(m, ID, target, 0.2, 42))
         self.num, self.cat = M.feature_columns(m, drop)
         self.train_rows = sp.filter(F.col("split") == "train")
         self.test_rows = sp.filter(F.col("split") == "test")
@@ -51,7 +52,7 @@ class Job:
         tr = M.with_weights(self.train_rows, target, M.class_weights(self.train_rows, target))
         tr = tr.withColumn("pos_w", F.when(F.col(target) == 1, F.lit(self.pos_weight)).otherwise(F.lit(1.0)))
         if folds:
-            tr = M.assign_folds(tr, ID, 5, 42)
+            tr = M.assign_folds(tr, ID, target, 5, 42)
         keep = [ID, target, "weight", "pos_w"] + (["fold"] if folds else [])
         self.train = MD.design(tr, self.prep, keep)
         self.test = MD.design(self.test_rows, self.prep, [ID, target])
@@ -69,17 +70,22 @@ _JOBS: dict = {}
 _FITTED: dict = {}
 
 
+def _inputs(spark, sf_dir) -> tuple[str, str]:
+    """The application and a digest of its input files as they are now."""
+    return spark.sparkContext.applicationId, input_fingerprint(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in MASTER_INPUTS])
+
+
 def job(spark, sf_dir, high_risk: bool = False, folds: bool = False) -> Job:
     """One Job per (session, inputs, kind): its checkpointed design matrices
     are shared by every key that trains on them."""
-    key = (id(spark), sf_dir, high_risk, folds)
+    key = (*_inputs(spark, sf_dir), high_risk, folds)
     if key not in _JOBS:
         _JOBS[key] = Job(spark, sf_dir, high_risk=high_risk, folds=folds)
     return _JOBS[key]
 
 
 def fitted(spark, sf_dir, name: str, high_risk: bool = False):
-    key = (id(spark), sf_dir, high_risk, name)
+    key = (*_inputs(spark, sf_dir), high_risk, name)
     if key not in _FITTED:
         j = job(spark, sf_dir, high_risk)
         _FITTED[key] = j.estimators()[name].fit(j.train)
@@ -199,9 +205,9 @@ def _random_search(spark, sf_dir):
     j = job(spark, sf_dir, folds=True)
     combos = MD.sample_grid(MD.GRID_LOGISTIC, 20, 42)
     maps = [MD.spark_params("logistic", c, j.n_weight) for c in combos]
-    cv = MD.random_search(j.estimators()["logistic_regression"], maps, j.train, T, "fold", 5)
+    cv, metrics = MD.random_search(j.estimators()["logistic_regression"], maps, j.train, T, "fold", 5)
     names = MD.describe_maps(combos)
-    rows = [(i, names[i], float(m)) for i, m in enumerate(cv.avgMetrics)]
+    rows = [(i, names[i], float(m)) for i, m in enumerate(metrics)]
     best = max(range(len(rows)), key=lambda i: (rows[i][2], -i))
     scored = MD.score(cv.bestModel, j.test, [ID, T])
     test_auc = E.roc_auc(scored, T, "probability").first()["roc_auc"]
@@ -213,10 +219,10 @@ def _random_search(spark, sf_dir):
 # -- J6 + M14 + R3 ---------------------------------------------------------------
 def _batch_scores(spark, sf_dir):
     """Test patients given only the 13 form inputs, the other features from
-    the training defaults (median / mode), scored by the logistic model."""
+    the defaults of all rows (median / mode), scored by the logistic model."""
     model = fitted(spark, sf_dir, "logistic_regression")
     j = job(spark, sf_dir)
-    defaults = M.feature_defaults(j.train_rows, j.num, j.cat)
+    defaults = M.feature_defaults(master(spark, sf_dir), j.num, j.cat)
     wide = defaults.agg(*[F.max(F.when(F.col("feature") == c, F.col("num_default" if c in j.num else "cat_default")))
                           .alias(c) for c in j.num + j.cat])
     inputs = j.test_rows.select(ID, T, *K.READMISSION_INPUTS)

@@ -56,16 +56,13 @@ def settle(sql: str, cols: list[str], places: int = 6) -> str:
 # ---------------------------------------------------------------------------
 # Role tables over the driver views
 # ---------------------------------------------------------------------------
-_BITS = ["diabetes", "hypertension", "heart_disease", "copd", "ckd", "depression", "obesity", "cancer"]
-
-
 def _has_cols() -> str:
     out = []
-    for i, n in enumerate(_BITS):
+    for i, n in enumerate(K.COMORBIDITY_COLS):
         e = f"CAST((c_custkey >> {i}) & 1 AS INTEGER)"
-        if n == "obesity":
+        if n == "has_obesity":
             e = f"CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE {e} END"
-        out.append(f"{e} AS has_{n}")
+        out.append(f"{e} AS {n}")
     return ",\n    ".join(out)
 
 
@@ -168,7 +165,7 @@ ADM_COLS = ["admission_id", "patient_id", "admission_date", "length_of_stay_days
             "admission_source", "discharge_disposition"]
 PAT_COLS = ["patient_id", "first_name", "mrn", "gender", "ethnicity", "insurance_type", "smoking_status",
             "alcohol_use", "language_preference", "age", "charlson_comorbidity_index", "num_prior_admissions",
-            "num_prior_ed_visits", "social_support_score"] + [f"has_{n}" for n in _BITS]
+            "num_prior_ed_visits", "social_support_score"] + K.COMORBIDITY_COLS
 LAB_COLS = ["lab_id", "admission_id", "drawn_at", "flag"]
 MED_COLS = ["medication_id", "admission_id", "start_datetime", "drug_class", "is_high_alert"]
 DIAG_COLS = ["diagnosis_id", "admission_id", "icd_code", "poa_flag", "diagnosis_rank"]

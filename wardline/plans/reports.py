@@ -17,12 +17,10 @@ RAW_COLS = {
     "admissions": O.ADM_COLS, "patients": O.PAT_COLS, "lab_results": O.LAB_COLS, "medications": O.MED_COLS,
     "diagnoses": O.DIAG_COLS, "vitals": O.VIT_COLS, "ed_visits": O.ED_COLS, "readmissions": O.READM_COLS,
 }
-CATEGORICAL = ["admission_type", "admission_source", "insurance_type", "gender", "age_group",
-               "smoking_status", "alcohol_use"]
+CATEGORICAL = K.EDA_CATEGORICAL
 GROUP_MEAN_COLS = K.COMORBIDITY_COLS + ["age", "length_of_stay_days", "charlson_comorbidity_index",
                                         "num_medications", "systolic_bp_mean", "total_charges_usd"]
-DESCRIBE_COLS = ["length_of_stay_days", "total_charges_usd", "age", "num_medications", "bmi",
-                 "avg_ed_wait_minutes", "systolic_bp_mean", "social_support_score"]
+DESCRIBE_COLS = K.EDA_NUMERIC
 VITAL_CORR_COLS = ["systolic_bp", "diastolic_bp", "heart_rate", "respiratory_rate", "temperature_c",
                    "spo2_percent", "gcs_score", "news2_score", "pain_score", "weight_kg", "height_cm"]
 
@@ -41,6 +39,16 @@ def _missing_report(spark, sf_dir):
     return Q.missing_report(master(spark, sf_dir))
 
 
+@register("missing_report_raw", O.with_ctes(_union([
+    f"SELECT '{t}' AS role, feature, n_missing, n_missing / t AS pct_missing FROM (UNPIVOT (SELECT "
+    + ", ".join(f"count(*) - count({c}) AS {c}" for c in cols) + f" FROM raw_{t}) ON COLUMNS(*) INTO NAME feature VALUE n_missing), "
+    f"(SELECT count(*) AS t FROM raw_{t}) WHERE n_missing > 0" for t, cols in RAW_COLS.items()]), *[f"raw_{t}" for t in RAW_COLS]),
+    settle=["pct_missing"])
+def _missing_report_raw(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    return Q.stack_tables({r: Q.missing_report(t.role(r).select(*RAW_COLS[r])) for r in RAW_COLS}, "role")
+
+
 # -- Q2, Q3 ------------------------------------------------------------------
 @register("duplicate_keys", O.with_ctes(_union([
     f"SELECT '{t}' AS role, count(*) AS n_rows, "
@@ -69,6 +77,20 @@ def _negative_report(spark, sf_dir):
     return Q.negative_report(master(spark, sf_dir))
 
 
+_RAW_NUMERIC = {"admissions": ["length_of_stay_days", "icu_days", "total_charges_usd", "insurance_paid_usd"],
+                "patients": ["social_support_score"], "ed_visits": ["wait_time_minutes", "ed_los_minutes"],
+                "readmissions": ["days_to_readmission"]}
+
+
+@register("negative_report_raw", O.with_ctes(_union([
+    f"SELECT '{t}' AS role, '{c}' AS feature, count(*) AS n_negative FROM raw_{t} WHERE {c} < 0 HAVING count(*) > 0"
+    for t, cols in _RAW_NUMERIC.items() for c in cols]), *[f"raw_{t}" for t in _RAW_NUMERIC]))
+def _negative_report_raw(spark, sf_dir):
+    """The raw tables, before clipping, hold the negatives the cleaners remove."""
+    t = tables(spark, sf_dir)
+    return Q.stack_tables({r: Q.negative_report(t.role(r).select(*cols)) for r, cols in _RAW_NUMERIC.items()}, "role")
+
+
 # -- Q6 ----------------------------------------------------------------------
 # DuckDB type names and the Spark type names they correspond to.
 SPARK_TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
@@ -91,6 +113,13 @@ def _dtype_report(spark, sf_dir):
     return Q.dtype_report(cleaned(spark, sf_dir, "readmissions"))
 
 
+@register("dtype_report_all", O.with_ctes(_union([
+    f"SELECT '{t}' AS role, * FROM ({_dtype_sql(f'clean_{t}', [c for c in cols if c not in K.PII_COLS])})" for t, cols in RAW_COLS.items()]),
+    *[f"clean_{t}" for t in RAW_COLS]))
+def _dtype_report_all(spark, sf_dir):
+    return Q.stack_tables({t: Q.dtype_report(cleaned(spark, sf_dir, t)) for t in RAW_COLS}, "role")
+
+
 # -- Q5, F10 -----------------------------------------------------------------
 _HR_SQL = """CAST(coalesce(readmitted_within_30d = 1, false) OR coalesce(length_of_stay_days > 7, false)
   OR coalesce(icu_days > 0, false) OR coalesce(total_comorbidities >= 3, false)
@@ -252,6 +281,13 @@ def _histogram(spark, sf_dir):
     return PR.histogram(master(spark, sf_dir), "age", 40)
 
 
+@register("histograms", O.with_ctes(_union([
+    f"SELECT '{c}' AS feature, * FROM ({_hist_sql('master', c, 40)})" for c in K.EDA_NUMERIC]), "master"), settle=["lo", "hi"])
+def _histograms(spark, sf_dir):
+    """Every profiled feature in one pass."""
+    return PR.histogram(PR.long_values(master(spark, sf_dir), K.EDA_NUMERIC), "value", 40, by="feature")
+
+
 # -- A22 ---------------------------------------------------------------------
 def _box_sql(src: str, col: str, by: str) -> str:
     return f"""
@@ -273,6 +309,14 @@ def _box_stats(spark, sf_dir):
     return PR.box_stats(master(spark, sf_dir), "length_of_stay_days", TARGET)
 
 
+@register("box_stats_all", O.with_ctes(_union([
+    f"SELECT '{c}' AS feature, * FROM ({_box_sql('master', c, TARGET)})" for c in K.EDA_NUMERIC]), "master"),
+    settle=["q1", "median", "q3", "iqr", "lower_whisker", "upper_whisker"])
+def _box_stats_all(spark, sf_dir):
+    long = PR.long_values(master(spark, sf_dir), K.EDA_NUMERIC, [TARGET])
+    return PR.box_stats(long, "value", ["feature", TARGET])
+
+
 # -- A23, A24 ----------------------------------------------------------------
 def _pair_sql(a: str, b: str) -> str:
     both = f"{a} IS NOT NULL AND {b} IS NOT NULL"
@@ -312,9 +356,7 @@ ORDER BY round_even(abs(corr) * 1e9, 0) DESC, feature LIMIT 25""", "master"), se
 def _corr_top(spark, sf_dir):
     m = master(spark, sf_dir)
     cols = [c for c in select_dtypes(m, "numeric") if c != TARGET]
-    # the master is already a stored table: no staging checkpoint
-    c = PR.corr_with(m, TARGET, cols, stage=False).filter(F.col("corr").isNotNull() & ~F.isnan("corr"))
-    return c.orderBy(F.desc(F.rint(F.abs("corr") * 1e9)), "feature").limit(25)
+    return PR.corr_top(m, TARGET, cols, 25)
 
 
 # -- A25 ---------------------------------------------------------------------
@@ -347,3 +389,66 @@ def _meds_by_label(spark, sf_dir):
     })
     adm = cleaned(spark, sf_dir, "admissions").select("admission_id", TARGET)
     return merge(meds, adm, "admission_id", "left")
+
+
+_VITAL_MEANS = ", ".join(f"avg({c}) AS {c}" for c in K.NUMERIC_VITALS)
+
+
+@register("vitals_by_label", O.with_ctes(f"""
+SELECT a.{TARGET}, count(*) AS n, {_VITAL_MEANS}
+FROM (SELECT admission_id, {_VITAL_MEANS} FROM clean_vitals WHERE admission_id IS NOT NULL GROUP BY admission_id) v
+JOIN clean_admissions a ON v.admission_id = a.admission_id WHERE a.{TARGET} IS NOT NULL GROUP BY a.{TARGET}""",
+    "clean_vitals", "clean_admissions"), settle=K.NUMERIC_VITALS)
+def _vitals_by_label(spark, sf_dir):
+    """Mean vitals per admission, the label joined, then means by label."""
+    from wardline.operators.joins import merge
+    from wardline.operators.rollup import rollup
+
+    means = rollup(cleaned(spark, sf_dir, "vitals"), "admission_id", {c: F.avg(c) for c in K.NUMERIC_VITALS})
+    adm = cleaned(spark, sf_dir, "admissions").select("admission_id", TARGET)
+    joined = merge(means, adm, "admission_id", "inner")
+    return rollup(joined, TARGET, {"n": F.count(F.lit(1)), **{c: F.avg(c) for c in K.NUMERIC_VITALS}})
+
+
+@register("stay_by_medications", O.with_ctes("""
+SELECT num_medications, avg(length_of_stay_days) AS mean_stay, count(length_of_stay_days) AS n FROM master
+WHERE num_medications IS NOT NULL GROUP BY num_medications""", "master"), settle=["mean_stay"])
+def _stay_by_medications(spark, sf_dir):
+    from wardline.operators.rollup import rollup
+
+    return rollup(master(spark, sf_dir), "num_medications", {
+        "mean_stay": F.avg("length_of_stay_days"), "n": F.count("length_of_stay_days")})
+
+
+# -- A25, P15, P16, P17 --------------------------------------------------------
+LABEL_NAMES = {0: "Not Readmitted", 1: "Readmitted"}  # fixed values
+
+
+@register("pair_sample", O.with_ctes(f"""
+SELECT admission_id, {', '.join(K.EDA_PAIRS)}, CASE {TARGET} WHEN 0 THEN 'Not Readmitted' WHEN 1 THEN 'Readmitted' END AS label
+FROM master WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*K.EDA_PAIRS, TARGET])}
+ORDER BY md5('42:' || CAST(admission_id AS VARCHAR)), admission_id LIMIT 3000""", "master"), settle=["news2_score_mean"])
+def _pair_sample(spark, sf_dir):
+    """Complete cases of the pair plot's features, a seeded sample of 3,000."""
+    from wardline.operators import clean as C
+
+    whole = C.complete_cases(master(spark, sf_dir).select("admission_id", *K.EDA_PAIRS, TARGET), [*K.EDA_PAIRS, TARGET])
+    some = C.seeded_sample(whole, 3000, "admission_id", 42)
+    return C.map_codes(some, TARGET, LABEL_NAMES, out="label").drop(TARGET)
+
+
+def _scatter(name: str, x: str, y: str, by: str):
+    x_bin, y_bin = (f"CAST(CASE WHEN {v}1 = {v}0 THEN 0 ELSE least(floor(({c} - {v}0) * (20.0e0 / ({v}1 - {v}0))), 19) END AS INTEGER) AS {v}_bin"
+                    for v, c in (("x", x), ("y", y)))
+    sql = f"""
+SELECT {by}, {x_bin}, {y_bin}, count(*) AS count
+FROM master, (SELECT CAST(min({x}) AS DOUBLE) AS x0, CAST(max({x}) AS DOUBLE) AS x1, CAST(min({y}) AS DOUBLE) AS y0,
+                     CAST(max({y}) AS DOUBLE) AS y1 FROM master WHERE {x} IS NOT NULL AND {y} IS NOT NULL)
+WHERE {x} IS NOT NULL AND {y} IS NOT NULL GROUP BY 1, 2, 3"""
+    register(name, O.with_ctes(sql, "master"))(lambda spark, sf_dir: PR.scatter_bins(master(spark, sf_dir), x, y, 20, by))
+
+
+_scatter("scatter_age_charlson", "age", "charlson_comorbidity_index", "gender")
+_scatter("scatter_stay_medications", "length_of_stay_days", "num_medications", TARGET)
+_scatter("scatter_stay_charges_icu", "length_of_stay_days", "total_charges_usd", "had_icu_stay")
+_scatter("scatter_pressure_news", "systolic_bp_mean", "news2_score_mean", TARGET)

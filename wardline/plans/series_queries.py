@@ -24,7 +24,7 @@ def daily(spark, sf_dir):
 _W = "PARTITION BY series ORDER BY date"
 SERIES_SQL = {
     "ds_sum": """
-  SELECT 'all' AS series, CAST(admission_date AS DATE) AS date, CAST(sum(num_ed_visits) AS DOUBLE) AS value
+  SELECT 'all' AS series, CAST(admission_date AS DATE) AS date, CAST(coalesce(sum(num_ed_visits), 0) AS DOUBLE) AS value
   FROM master WHERE admission_date IS NOT NULL GROUP BY 1, 2""",
     "ds_cal": """
   SELECT series, CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date

@@ -34,10 +34,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cutting folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared (distributed) folder and is used
-    as is.  Only when it is unset, as in local tests, a folder is created here.
+    as is; without it nothing can be written that all executors see, so that is
+    an error.  Only in local mode, as in tests, a folder is created here.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="wardline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.operators.sequence import next_in_sequence
+from wardline.plans.clinical import COMORBIDITY_COLS
 
 ROLES = (
     "admissions",
@@ -110,10 +111,9 @@ class DriverTables:
         smoking = F.when(k % 4 == 0, "never").when(k % 4 == 1, "former").when(k % 4 == 2, " current")
         alcohol = F.when(k % 3 == 1, "moderate").when(k % 3 == 2, "HEAVY ")
         language = F.when(nk % 2 == 0, "english").otherwise("spanish")
-        names = ["diabetes", "hypertension", "heart_disease", "copd", "ckd", "depression", "obesity", "cancer"]
         flags = [
-            _null_when(k % 11 == 0, _bit(k, i)).alias(f"has_{n}") if n == "obesity" else _bit(k, i).alias(f"has_{n}")
-            for i, n in enumerate(names)
+            _null_when(k % 11 == 0, _bit(k, i)).alias(n) if n == "has_obesity" else _bit(k, i).alias(n)
+            for i, n in enumerate(COMORBIDITY_COLS)
         ]
         return c.select(
             k.alias("patient_id"),

@@ -2,9 +2,9 @@
 model persistence (S1, S2, S5-S8), and materialised derived tables.
 
 Derived tables live in the shared folder named by ``spark.checkpoint.dir``
-(never a machine-local path on a cluster), written to a temporary name and
-renamed when complete, so a lost executor or an interrupted job never
-leaves a half-written table that later jobs would read.
+(never a machine-local path on a cluster); only builds that Spark has marked
+as complete are read, so a lost executor or an interrupted job never leaves a
+half-written table that later jobs would read.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators.clean import normalise_null_tokens
@@ -61,15 +62,29 @@ RAW_SCHEMAS = {
 
 # -- S1, S2 ------------------------------------------------------------------
 def read_raw_csv(spark: SparkSession, base_path: str, names=None) -> dict[str, DataFrame]:
-    """The raw table set: ``{base_path}/{name}.csv`` with a header, read with
-    a declared schema (no inference pass) in PERMISSIVE mode; pandas' missing
-    markers become null.  Datetime columns stay text until the cleaners
-    coerce them (bad values → null)."""
+    """The raw table set: ``{base_path}/{name}.csv`` with a header.
+
+    Every column is read as text (doubled quotes, and line breaks inside
+    quotes, as pandas writes them), pandas' missing markers become null, and
+    declared numbers are then cast: integers by way of double, since pandas
+    writes an integer column with gaps as ``45.0``.  Text that is no number is
+    null.  Datetime columns stay text until the cleaners coerce them; columns
+    that are not declared stay text.  ``_pos`` keeps the rows' file order for
+    de-duplication."""
     out = {}
     for name in names or RAW_SCHEMAS:
-        df = (spark.read.schema(RAW_SCHEMAS[name]).option("header", True).option("mode", "PERMISSIVE")
-              .option("nullValue", "").csv(f"{base_path.rstrip('/')}/{name}.csv"))
-        out[name] = normalise_null_tokens(df)
+        df = (spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+              .csv(f"{base_path.rstrip('/')}/{name}.csv"))
+        pos = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                       F.monotonically_increasing_id().alias("row"))
+        df = normalise_null_tokens(df.select("*", pos.alias("_pos")))
+        casts = {}
+        for f in RAW_SCHEMAS[name]:
+            if f.name in df.columns and f.dataType in (I, D):
+                number = F.expr(f"try_cast(trim(`{f.name}`) AS double)")
+                number = F.when(~F.isnan(number), number)
+                casts[f.name] = F.expr(f"try_cast(try_cast(trim(`{f.name}`) AS double) AS bigint)") if f.dataType == I else number
+        out[name] = df.withColumns(casts) if casts else df
     return out
 
 
@@ -122,32 +137,39 @@ def _code_fingerprint() -> str:
     return h.hexdigest()[:16]
 
 
-def _input_fingerprint(paths: list[str]) -> str:
+def input_fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Digest of the names, lengths and change times of all files below the
+    paths, listed through Hadoop, so it works on any file system."""
     h = hashlib.sha256()
+    conf = spark._jsc.hadoopConfiguration()
     for p in sorted(paths):
-        h.update(p.encode())
-        try:
-            st = os.stat(p)
-            h.update(f"{st.st_size}:{st.st_mtime_ns}".encode())
-        except OSError:  # non-local filesystem: the path itself keys the table
-            pass
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        fs, todo, seen = path.getFileSystem(conf), [path], []
+        while todo:
+            for st in fs.listStatus(todo.pop()):
+                if st.isDirectory():
+                    todo.append(st.getPath())
+                else:
+                    seen.append((st.getPath().toString(), st.getLen(), st.getModificationTime()))
+        h.update(repr((p, sorted(seen))).encode())
     return h.hexdigest()[:16]
 
 
 def materialized(spark: SparkSession, name: str, inputs: list[str], build: Callable[[], DataFrame]) -> DataFrame:
     """Read ``name`` from the shared folder if it was built from the same
-    inputs by the same code; otherwise build it, write it under a temporary
-    name, rename it into place and read it back."""
+    inputs by the same code; otherwise build it and read that.
+
+    Every build has a folder of its own and counts only once Spark has written
+    its ``_SUCCESS`` file, so a build that was interrupted is never read, and
+    nothing is renamed."""
     root = f"{checkpoint_dir(spark).rstrip('/')}/wardline-tables"
-    key = f"{name}-{_input_fingerprint(inputs)}-{_code_fingerprint()}"
-    final = f"{root}/{key}"
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
-    fs_path = jvm.org.apache.hadoop.fs.Path(final)
-    fs = fs_path.getFileSystem(conf)
-    if not fs.exists(jvm.org.apache.hadoop.fs.Path(f"{final}/_SUCCESS")):
-        tmp = f"{root}/.tmp-{key}-{uuid.uuid4().hex}"
-        build().write.mode("overwrite").parquet(tmp)
-        if not fs.exists(fs_path):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), fs_path)
-    return spark.read.parquet(final)
+    key = f"{name}-{input_fingerprint(spark, inputs)}-{_code_fingerprint()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    built = [st.getPath().toString() for st in fs.listStatus(path)] if fs.exists(path) else []
+    done = sorted(p for p in built if p.rsplit("/", 1)[1].startswith(f"{key}-")
+                  and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{p}/_SUCCESS")))
+    if not done:
+        done = [f"{root}/{key}-{uuid.uuid4().hex}"]
+        build().write.parquet(done[0])
+    return spark.read.parquet(done[0])
