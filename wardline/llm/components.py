@@ -18,8 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     longest path; each round is written to the shared folder.  Loops, repeated
     and empty edges are fine, null ends are ignored."""
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    while True:
+    while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low"))
         now = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
@@ -27,8 +26,26 @@ def components(edges: DataFrame) -> DataFrame:
         joined = now.join(least, "a")
         now = stored(joined.select("a", F.col("low").alias("b"))
                      .union(joined.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))).distinct(), "edges")
-        sums = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if sums == state:
-            break
-        state = sums
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select("b", "b").distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Every vertex has one smaller neighbour, and that has none."""
+    ends = edges.groupBy("a").agg(F.count("*").alias("n"), F.lit(0).alias("low")).union(
+        edges.groupBy(F.col("b").alias("a")).agg(F.lit(0).cast("long").alias("n"), F.lit(1).alias("low")))
+    both = ends.groupBy("a").agg(F.sum("n").alias("n"), F.max("low").alias("low"))
+    return both.where("n > 1 or (n = 1 and low = 1)").limit(1).count() == 0
+
+
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """``known`` components after more links between vertices, found on the
+    graph of the known components, which is much smaller."""
+    if not links.limit(1).count():
+        return known
+    of = lambda end: known.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    lifted = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    again = components(lifted)
+    moved = known.join(again.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left")
+    alone = again.join(known.select("id"), "id", "left_anti")
+    return moved.select("id", F.coalesce("to", "component").alias("component")).union(alone.select("id", "component"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.common import stored
-from wardline.llm.components import components
+from wardline.llm.components import components, merged
 from wardline.llm.shingles import mix64, shingle_sets
 
 SHINGLE = 5
@@ -125,9 +125,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     1. Every text gives its set, the set's 128-bit digest and its band keys.
        Rows with equal sets are one node from here on, however many they are.
-    2. Nodes that share a band key meet.  In each bucket every node is checked
-       against the bucket's first node only, on full sets.
-    3. Buckets whose nodes are then still in several components are finished
+    2. Nodes that share a band key meet.  Shingles that only one of them has
+       cannot be shared; nodes with too many such shingles leave, and pairs
+       whose other shingles cannot reach the threshold are never made.
+    3. In each bucket every node is checked against one node only, on full
+       sets: the one with most shingles in common with others, which in a
+       group of edited copies is (near) their original.
+    4. Buckets whose nodes are then still in several components are finished
        exactly: nodes outside the bucket's largest component are checked
        against all nodes of other components there.  So a group of many near
        copies costs its size, not its square, and no link that could join two
@@ -147,28 +151,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     nodes = stored(nodes, "nodes")
 
     placed = nodes.select("id", F.explode("bands").alias("bucket"))
-    hubs = placed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub <> top").drop("top")
-    met = stored(placed.join(hubs, "bucket"), "buckets")
-    pairs = met.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = stored(_same_size(pairs, nodes, percent), "pairs")
+    several = placed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low <> top").select("bucket")
+    met = stored(placed.join(several, "bucket"), "buckets")
 
     wanted = nodes.join(met.select("id").distinct(), "id").select("id", "rep", "hi", "lo")
     texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("id", "hi", "lo", "text")
     sets = stored(texts.mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "sets")
-
-    links = stored(_verified(pairs, sets, percent), "links")
-    known = components(links)
-    at = met.join(known, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("l"), F.count("*").alias("parts")).where("parts > 1")
-    open_rows = at.join(largest.select("bucket", F.col("l.component").alias("largest")), "bucket")
-    outside = open_rows.where("component <> largest").select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
+    able = _able(nodes.select("id", "n"), sets, percent)
+    met = stored(met.join(able, "id"), "buckets")
+
+    best = met.groupBy("bucket").agg(F.max(F.struct("m", -F.col("id"))).alias("hub"), F.count("*").alias("k")).where("k > 1")
+    best = best.select("bucket", (-F.col("hub.col2")).alias("hub"))
+    hubs = met.join(best, "bucket").where("id = hub").select("bucket", F.col("id").alias("h"), F.col("n").alias("hn"), F.col("m").alias("hm"))
+    pairs = met.join(hubs, "bucket").where("id <> h").where(_can_link("n", "m", "hn", "hm", percent))
+    pairs = stored(pairs.select(F.least("id", "h").alias("a"), F.greatest("id", "h").alias("b")).distinct(), "pairs")
+
+    known = stored(components(stored(_verified(pairs, sets, percent), "links")), "components")
+    at = met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("l"), F.count("*").alias("parts")).where("parts > 1")
+    open_rows = stored(at.join(largest.select("bucket", F.col("l.component").alias("largest")), "bucket"), "buckets")
+    outside = open_rows.where("component <> largest").select(
+        "bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
     more = outside.join(open_rows, "bucket").where("component <> cb and (component = largest or id < b)")
+    more = more.where(_can_link("n", "m", "nb", "mb", percent))
     more = more.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(_same_size(more, nodes, percent), "pairs")
-    links = links.union(_verified(more, sets, percent))
-
-    of_node = components(links)
+    of_node = merged(known, stored(_verified(stored(more, "pairs"), sets, percent), "links"))
     labelled = nodes.select("id", "hi", "lo", "rep").join(of_node, "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
     lowest = labelled.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -178,12 +186,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _same_size(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets are of sizes that can reach the threshold."""
-    n = nodes.select("id", "n")
-    sized = pairs.join(n.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(
-        n.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    return sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            some = batch.slice(at, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in some.column("shingles")]
+            ids = np.repeat(some.column("id").to_numpy(), [len(s) for s in sets])
+            yield pa.record_batch([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+
+
+def _able(sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(id, n, m)`` of the nodes that can be linked at all: of a node's ``n``
+    shingles only the ``m`` that some other candidate has too can be shared."""
+    seen = sets.mapInArrow(_shingles, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("id").alias("id"))
+    alone = seen.where("k = 1").groupBy("id").agg(F.count("*").alias("own"))
+    counted = sizes.join(sets.select("id"), "id").join(alone, "id", "left")
+    counted = counted.withColumn("m", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    return stored(counted.where(100 * F.col("m") >= percent * F.col("n")), "able")
+
+
+def _can_link(nx: str, mx: str, ny: str, my: str, percent: int):
+    """Whether sets of these sizes can reach the threshold: they share at most
+    the smaller ``m``."""
+    most = F.least(mx, my)
+    return 100 * most >= percent * (F.col(nx) + F.col(ny) - most)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
