@@ -31,7 +31,7 @@ EPOCHS = 5
 BATCH = 100
 SEED = 7
 #: Words kept per worker with their scores, and text worked on at once.
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 BLOCK_BYTES = 12 << 20
 
 _OPEN, _CLOSE = 2, 3
@@ -235,13 +235,17 @@ def remainder(id_col: str, n: int) -> Column:
 def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           fit_documents: int = FIT_DOCUMENTS) -> WordField:
     """Fit on at most ``fit_documents`` documents per language, those with the
-    smallest digests of their ids among documents whose crc32 modulo 4 is not
+    smallest digests of id and text among documents whose crc32 modulo 4 is not
     2 and whose language and text are not null."""
     rows = docs.where((remainder(id_col, 4) != 2) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy("draw", "text")
-    some = (rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("draw"))
-            .withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= fit_documents))
-    return fit([(r.text, r.lang) for r in some.orderBy("lang", "nth").collect()])
+    some = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("draw"))
+    # tasks send their smallest digests per language, not texts
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    draws = some.select("lang", "draw").distinct().withColumn("nth", nth).where(F.col("nth") <= fit_documents)
+    last = draws.groupBy("lang").agg(F.max("draw").alias("last"))
+    taken = some.join(F.broadcast(last), "lang").where("draw <= last")  # one row per language
+    taken = taken.dropDuplicates(["lang", "draw"]).select("lang", "draw", "text").collect()
+    return fit([(r.text, r.lang) for r in sorted(taken, key=lambda r: (r.lang, r.draw, r.text))])
 
 
 def predict(docs: DataFrame, field: WordField, *, text_col: str = "text") -> DataFrame:
