@@ -69,3 +69,50 @@ def test_tree_table_matches_spark_gbt(spark):
     want = np.array([r.prediction for r in model.transform(va.transform(df)).select("prediction").collect()])
     got = Forest.from_pandas(tree_table(spark, model).toPandas()).predict(x)
     assert np.max(np.abs(want - got)) < 1e-9
+
+
+def two_levels(spark, days=200):
+    rows = [(name, dt.date(2020, 1, 1) + dt.timedelta(days=i), level + 3.0 * (i % 7 == 2) + 0.01 * ((i * 37) % 11))
+            for name, level in (("low", 13.0), ("high", 1003.0)) for i in range(days)]
+    return spark.createDataFrame(rows, "series string, date date, value double")
+
+
+def test_every_series_keeps_its_level(spark):
+    from wardline.operators import forecast as FC
+
+    s = two_levels(spark)
+    for pred in (FC.fourier_forecast(s, "2020-06-30", "2020-07-01"), FC.boosted_forecast(s, "2020-06-30", "2020-07-01")[1]):
+        got = pred.toPandas()
+        assert set(got.series) == {"low", "high"} and len(got) == 2 * 18
+        assert (abs(got.forecast - got.value) < 6).all()
+
+
+def test_short_and_untrained_series_have_every_test_day(spark):
+    from wardline.operators import arima as A
+    from wardline.operators import forecast as FC
+
+    s = two_levels(spark, 60).filter("series = 'low' or date >= '2020-02-20'")
+    got = A.arima_forecast(s, "2020-02-15", "2020-02-16").toPandas()
+    assert (got[got.series == "low"].status == "mean").all() and (got.series == "low").sum() == 14
+    assert (got[got.series == "high"].status == "no_training").all() and (got.series == "high").sum() == 10
+    assert got[got.series == "low"].forecast.notna().all() and got[got.series == "high"].forecast.isna().all()
+    fc = FC.fourier_forecast(s, "2020-02-15", "2020-02-16").toPandas()
+    assert len(fc) == 24 and fc[fc.series == "high"].forecast.isna().all()
+
+
+def test_all_missing_day_counts_as_zero(spark):
+    from wardline.operators import series as S
+
+    rows = [(dt.date(2020, 1, 1), 5.0), (dt.date(2020, 1, 2), None), (dt.date(2020, 1, 3), 9.0)]
+    got = S.daily_series(spark.createDataFrame(rows, "d date, v double"), "d", "v").orderBy("date").collect()
+    assert [r.value for r in got] == [5.0, 0.0, 9.0] and not any(r.filled for r in got)
+
+
+def test_recursion_from_few_seed_days(spark):
+    from wardline.operators import forecast as FC
+
+    s = two_levels(spark, 120)
+    model, _ = FC.boosted_forecast(s, "2020-04-10", "2020-04-11")
+    seeds = s.filter("date > '2020-04-08' and date <= '2020-04-11'")
+    got = FC.recursive_forecast(spark, model, seeds, 5, FC.series_scale(s, "2020-04-10")).toPandas()
+    assert len(got) == 10 and (got[got.series == "high"].forecast > 900).all() and (got[got.series == "low"].forecast < 60).all()

@@ -50,3 +50,77 @@ def test_pipeline_save_load(spark):
     p1 = MD.score(model, prep.transform(df), ["x"]).agg(F.sum("probability")).first()[0]
     p2 = MD.score(model2, prep2.transform(df), ["x"]).agg(F.sum("probability")).first()[0]
     assert abs(p1 - p2) < 1e-12
+
+
+def test_csv_numbers_quotes_and_file_order(spark):
+    d = tempfile.mkdtemp(prefix="wardline-csv-")
+    with open(os.path.join(d, "medications.csv"), "w") as f:
+        f.write('is_high_alert,medication_id,admission_id,drug_class,note\n'
+                '1.0,45.0,7,"beta, ""blocker""\nsecond line",x\n'
+                'NaN,46,,plain,\n'
+                'nan,not a number,8.0,NULL,y\n'
+                '0,45.0,9,later copy,z\n')
+    raw = TB.read_raw_csv(spark, d, ["medications"])["medications"]
+    rows = raw.orderBy("_pos").collect()
+    assert [r.medication_id for r in rows] == [45, 46, None, 45]
+    assert [r.admission_id for r in rows] == [7, None, 8, 9]
+    assert [r.is_high_alert for r in rows] == [1.0, None, None, 0.0]
+    assert rows[0].drug_class == 'beta, "blocker"\nsecond line' and rows[2].drug_class is None and rows[1].note is None
+    from wardline.plans.clinical import clean_medications
+
+    kept = {r.medication_id: r for r in clean_medications(raw).collect()}
+    assert kept[45].admission_id == 7 and set(kept) == {45, 46, None}  # the first row in the file stays
+
+
+def test_csv_round_trip_rebuilds_the_master(spark):
+    from wardline.plans import clinical as K
+    from wardline.plans.catalog import features, tables
+    from wardline.plans.reports import RAW_COLS
+
+    sf, d = "/root/testdata/sf0.001", tempfile.mkdtemp(prefix="wardline-csv-")
+    t = tables(spark, sf)
+    for role, cols in RAW_COLS.items():
+        order = [K.POS] if K.POS in t.role(role).columns else []
+        pdf = t.role(role).orderBy(*order, *cols).select(*cols).toPandas()
+        pdf.to_csv(os.path.join(d, f"{role}.csv"), index=False)
+    again = K.build_master(TB.read_raw_csv(spark, d))
+    want = K.integrate(features(spark, sf))
+    cols = ["admission_id", "patient_id", "length_of_stay_days", "num_lab_tests", "num_abnormal_labs", "num_medications", "num_diagnoses",
+            "bmi", "age_group", "num_ed_visits", "avg_ed_wait_minutes", "drug_class" if "drug_class" in want.columns else "gender"]
+    as_text = lambda df: sorted(str([r[c] if not isinstance(r[c], (int, float)) else round(float(r[c]), 6) for c in cols]) for r in df.select(*cols).collect())
+    assert as_text(again) == as_text(want)
+
+
+def test_stored_table_follows_its_input_and_ignores_unfinished_builds(spark):
+    d = tempfile.mkdtemp(prefix="wardline-in-")
+    path = f"{d}/t.parquet"
+    spark.range(5).write.parquet(path)
+    build = lambda: spark.read.parquet(path)
+    first = TB.materialized(spark, "probe", [path], build)
+    assert first.count() == 5
+    spark.range(9).write.mode("overwrite").parquet(path)
+    second = TB.materialized(spark, "probe", [path], build)
+    assert second.count() == 9
+    folder = os.path.dirname(second.inputFiles()[0].removeprefix("file://"))
+    os.rename(f"{folder}/_SUCCESS", f"{folder}/_unfinished")
+    third = TB.materialized(spark, "probe", [path], build)
+    assert third.count() == 9 and third.inputFiles() != second.inputFiles()
+
+
+def test_checkpoint_folder_is_never_invented_on_a_cluster():
+    import pytest
+
+    from wardline.session import checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        checkpoint_dir(Session())

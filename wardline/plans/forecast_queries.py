@@ -19,6 +19,7 @@ from wardline.plans.catalog import master, register
 from wardline.plans.series_queries import SERIES_SQL, TEST_START, TRAIN_END, daily, q
 from wardline.plans.model_queries import _inputs
 from wardline.session import cut_lineage
+from wardline.sources.tables import load_forecaster, log_runs, save_forecaster, serving_folder
 
 HORIZON = 30  # the dashboard's default horizon (7-180 allowed)
 
@@ -58,8 +59,10 @@ def _regression_metrics(spark, sf_dir):
 def _recursive(spark, sf_dir):
     s = _series(spark, sf_dir)
     model, _ = _boosted(spark, sf_dir)
-    seeds = S.last_k(s, 7, before=TRAIN_END)
-    return FC.recursive_forecast(spark, model, seeds, HORIZON, FC.series_scale(s, TRAIN_END))
+    path = serving_folder(spark, "forecast")
+    save_forecaster(model, S.last_k(s, 7, before=TRAIN_END), FC.series_scale(s, TRAIN_END), path)
+    model, seeds, scale = load_forecaster(spark, path)  # the forecast starts from what was saved
+    return FC.recursive_forecast(spark, model, seeds, HORIZON, scale)
 
 
 register("recursive_forecast")(_recursive)
@@ -104,6 +107,16 @@ def _forecast_comparison(spark, sf_dir):
     return allm.join(best, "series").withColumn("is_best", F.col("model") == F.col("__best")).drop("__best")
 
 
+@register("run_log_forecast")
+def _run_log_forecast(spark, sf_dir):
+    """Run records of the forecasters, appended to the log and read back."""
+    cmp = _forecast_comparison(spark, sf_dir)
+    return log_runs(cmp.select(
+        F.concat_ws("_", F.lit("forecast"), "model", "series").alias("run_name"), F.lit("forecast").alias("stage"),
+        F.create_map(F.lit("model"), F.col("model"), F.lit("series"), F.col("series")).alias("params"),
+        F.create_map(*[x for m in ("mae", "rmse", "r2") for x in (F.lit(m), F.col(m))]).alias("metrics")))
+
+
 # -- X2, X6, X7 ----------------------------------------------------------------
 @register("adf_test")
 def _adf_test(spark, sf_dir):

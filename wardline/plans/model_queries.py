@@ -20,7 +20,7 @@ from wardline.operators import risk as R
 from wardline.plans import clinical as K
 from wardline.plans.catalog import MASTER_INPUTS, master, register
 from wardline.session import cut_lineage
-from wardline.sources.tables import input_fingerprint
+from wardline.sources.tables import input_fingerprint, load_pipeline, log_runs, save_pipeline, serving_folder
 
 T = K.TARGET
 ID = "admission_id"
@@ -220,14 +220,18 @@ def _random_search(spark, sf_dir):
 def _batch_scores(spark, sf_dir):
     """Test patients given only the 13 form inputs, the other features from
     the defaults of all rows (median / mode), scored by the logistic model."""
-    model = fitted(spark, sf_dir, "logistic_regression")
+    from pyspark.ml.classification import LogisticRegressionModel
+
     j = job(spark, sf_dir)
-    defaults = M.feature_defaults(master(spark, sf_dir), j.num, j.cat)
+    path = serving_folder(spark, "readmission")
+    save_pipeline(j.prep, fitted(spark, sf_dir, "logistic_regression"), path, M.feature_defaults(master(spark, sf_dir), j.num, j.cat))
+    prep, model = load_pipeline(spark, path, LogisticRegressionModel)  # scoring starts from what was saved
+    defaults = spark.read.parquet(f"{path}/defaults")
     wide = defaults.agg(*[F.max(F.when(F.col("feature") == c, F.col("num_default" if c in j.num else "cat_default")))
                           .alias(c) for c in j.num + j.cat])
     inputs = j.test_rows.select(ID, T, *K.READMISSION_INPUTS)
     rows = R.overlay_defaults(inputs, wide)
-    design = j.prep.transform(rows).select(ID, T, "features")
+    design = prep.transform(rows).select(ID, T, "features")
     return MD.score(model, design, [ID, T]).withColumn("risk_band", R.risk_band("probability"))
 
 
@@ -242,14 +246,15 @@ def _risk_band(spark, sf_dir):
 # -- S7 ----------------------------------------------------------------------
 @register("run_log")
 def _run_log(spark, sf_dir):
-    """Run records of the baseline comparison: ``(run_name, stage, params, metrics)``."""
-    cmp = _model_comparison(spark, sf_dir)
-    return cmp.select(
-        F.concat(F.lit("baseline_"), F.col("model")).alias("run_name"),
-        F.lit("baseline").alias("stage"),
+    """Run records of both comparisons: ``(run_name, stage, params, metrics,
+    run_id, logged_at)``, appended to the log and read back from it."""
+    parts = {"baseline": _model_comparison(spark, sf_dir), "high_risk": _high_risk_comparison(spark, sf_dir)}
+    return log_runs(reduce(DataFrame.unionByName, [cmp.select(
+        F.concat(F.lit(f"{stage}_"), F.col("model")).alias("run_name"),
+        F.lit(stage).alias("stage"),
         F.create_map(F.lit("model"), F.col("model")).alias("params"),
         F.create_map(*[x for m in ("roc_auc", "f1", "precision", "recall") for x in (F.lit(m), F.col(m))]).alias("metrics"),
-    )
+    ) for stage, cmp in parts.items()]))
 
 
 # -- R1, R2 ------------------------------------------------------------------

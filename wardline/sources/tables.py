@@ -103,9 +103,21 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 
 
+def log_runs(runs: DataFrame) -> DataFrame:
+    """Append the records, stamped with a run id and the time, to the run log
+    in the shared folder, and read these records back from it."""
+    spark = runs.sparkSession
+    path, run_id = f"{checkpoint_dir(spark).rstrip('/')}/wardline-runs", uuid.uuid4().hex
+    append_runs(runs.withColumns({"run_id": F.lit(run_id), "logged_at": F.current_timestamp()}), path)
+    return spark.read.parquet(path).filter(F.col("run_id") == run_id)
+
+
 # -- S8 ----------------------------------------------------------------------
-def save_pipeline(prep, model, path: str) -> None:
-    """Feature preparation (fitted parameters + encoder) and the model."""
+def save_pipeline(prep, model, path: str, defaults: DataFrame | None = None) -> None:
+    """Feature preparation (fitted parameters + encoder), the model and, for
+    serving, the default of every feature."""
+    if defaults is not None:
+        defaults.write.mode("overwrite").parquet(f"{path}/defaults")
     prep.params.write.mode("overwrite").parquet(f"{path}/params")
     prep.encoder.write().overwrite().save(f"{path}/encoder")
     model.write().overwrite().save(f"{path}/model")
@@ -125,6 +137,24 @@ def load_pipeline(spark: SparkSession, path: str, model_cls):
     return prep, model_cls.load(f"{path}/model")
 
 
+def save_forecaster(model, last_days: DataFrame, scale: DataFrame, path: str) -> None:
+    """What serving a forecast needs: the boosted regressor, each series' last
+    days (their latest date is the last training date) and its scale."""
+    model.write().overwrite().save(f"{path}/model")
+    last_days.write.mode("overwrite").parquet(f"{path}/last_days")
+    scale.write.mode("overwrite").parquet(f"{path}/scale")
+
+
+def load_forecaster(spark: SparkSession, path: str):
+    from pyspark.ml.regression import GBTRegressionModel
+
+    return GBTRegressionModel.load(f"{path}/model"), spark.read.parquet(f"{path}/last_days"), spark.read.parquet(f"{path}/scale")
+
+
+def serving_folder(spark: SparkSession, kind: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/wardline-serving/{kind}-{uuid.uuid4().hex}"
+
+
 # -- materialised derived tables -------------------------------------------------
 def _code_fingerprint() -> str:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
