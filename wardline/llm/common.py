@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from wardline.session import checkpoint_dir
 
+T = TypeVar("T")
+
 #: Upper bound of a driver-side list of range boundaries, whatever the cluster's settings.
 MAX_RANGES = 4096
 
@@ -57,6 +61,18 @@ def range_of(col: Column, bounds: list[int]) -> Column:
     return F.when(col.isNull(), F.lit(len(bounds))).otherwise(coarse * step + fine).cast("int")
 
 
+_kept: dict[str, object] = {}
+
+
+def kept_in_worker(key: str, make: Callable[[], T]) -> T:
+    """The one large object that a Python worker keeps between its tasks; one
+    of another key takes its place, so that stages do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def strings(column: pa.Array) -> list[str]:
     """Python strings, a null as the empty text."""
     return [x or "" for x in column.to_pylist()]

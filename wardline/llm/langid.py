@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import row_blocks, strings
+from wardline.llm.common import kept_in_worker, row_blocks, strings
 from wardline.llm.shingles import mix64
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -31,8 +31,8 @@ EPOCHS = 5
 BATCH = 100
 SEED = 7
 #: Words kept per worker with their scores, and text worked on at once.
-KEPT_WORDS = 500_000
-BLOCK_BYTES = 12 << 20
+KEPT_WORDS = 250_000
+BLOCK_BYTES = 5 << 20
 
 _OPEN, _CLOSE = 2, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -116,10 +116,6 @@ class WordField:
         return out, expected
 
 
-#: The labeller of the model in use, kept between a worker's tasks.
-_in_worker: dict[str, "Labeller"] = {}
-
-
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -185,7 +181,7 @@ class Labeller:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.field.labels)))
+        self.table = np.zeros((0, len(self.field.labels)), np.float32)
         self.letters = np.zeros(0, bool)
 
     def label(self, texts: list[str]) -> tuple[list[np.ndarray], list[list[str]]]:
@@ -197,7 +193,7 @@ class Labeller:
         new = sorted(set().union(*split).difference(self.known)) if split else []
         if new:
             ids, of = features(new)
-            self.table = np.concatenate([self.table, self.field.scores(ids, of, len(new))])
+            self.table = np.concatenate([self.table, self.field.scores(ids, of, len(new)).astype(np.float32)])
             self.letters = np.concatenate([self.letters, [any(c.isalpha() for c in w) for w in new]])
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
         lengths = np.array([len(w) for w in split], np.int64)
@@ -258,10 +254,7 @@ def predict(docs: DataFrame, field: WordField, *, text_col: str = "text") -> Dat
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if mark not in _in_worker:
-            _in_worker.clear()
-            _in_worker[mark] = Labeller(WordField(*model.value))
-        own = _in_worker[mark]
+        own = kept_in_worker(f"labeller {mark}", lambda: Labeller(WordField(*model.value)))
         for batch in batches:
             texts = strings(batch.column(text_col))
             langs, scores = [], []

@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import os
 from array import array
-from functools import cache
 
 import numpy as np
 import public_tokenizers
 import regex as re
 from tokenizers import Tokenizer
 
+from wardline.llm.common import kept_in_worker
+
 # Spark runs one task per core; threads inside a task would only compete.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -88,7 +89,6 @@ class PieceEncoder:
         return out
 
 
-@cache
 def encoder(name: str = VOCABULARY) -> PieceEncoder:
     """One per Python worker; ``name``: a public vocabulary or a path."""
-    return PieceEncoder(name if "/" in name else public_tokenizers.path(name))
+    return kept_in_worker(f"pieces {name}", lambda: PieceEncoder(name if "/" in name else public_tokenizers.path(name)))
