@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
@@ -15,6 +16,8 @@ from wardline.session import checkpoint_dir
 
 T = TypeVar("T")
 
+#: Rows of texts that go to a Python worker at once.
+BATCH_ROWS = 2_000
 #: Upper bound of a driver-side list of range boundaries, whatever the cluster's settings.
 MAX_RANGES = 4096
 
@@ -23,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with batches of at most ``BATCH_ROWS`` rows going to Python
+    workers in this session (long texts make Spark's default of 10,000 heavy);
+    a smaller setting is left as it is."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return docs
+
+
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors see."""
     return f"{checkpoint_dir(spark).rstrip('/')}/wardline-llm/{kind}-{uuid.uuid4().hex}"
@@ -69,6 +82,7 @@ def kept_in_worker(key: str, make: Callable[[], T]) -> T:
     of another key takes its place, so that stages do not add up."""
     if key not in _kept:
         _kept.clear()
+        gc.collect()
         _kept[key] = make()
     return _kept[key]
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import kept_in_worker, row_blocks, strings
+from wardline.llm.common import kept_in_worker, row_blocks, strings, text_batches
 from wardline.llm.shingles import mix64
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -265,7 +265,7 @@ def predict(docs: DataFrame, field: WordField, *, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              [*names, "lang_pred", "score"])
 
-    kept = docs.select(*names)
+    kept = text_batches(docs.select(*names))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
     return kept.mapInArrow(run, f"{fields}lang_pred string, score double")
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import stored
+from wardline.llm.common import stored, text_batches
 from wardline.llm.components import components, merged
 from wardline.llm.shingles import mix64, shingle_sets
 
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with nothing.  Rows without an id take part; a component without any id
     has none, and its rows are kept.  Rows that repeat an id are told apart by
     their texts.  An empty table gives no rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     bands = n_bands(percent, band_rows, miss)
     prints = stored(rows.mapInArrow(_prints(shingle, bands, band_rows),
                                     "doc_id long, n_shingles long, hi long, lo long, bands array<long>"), "prints")

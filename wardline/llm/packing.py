@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import tokens
-from wardline.llm.common import stored, strings
+from wardline.llm.common import stored, strings, text_batches
 
 CAPACITY = 1024
 END_ID = 2
@@ -91,7 +91,7 @@ def pack_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     A null text is empty (just the end id); null ids and repeated rows are
     packed like any other; an empty table gives no rows."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = stored(rows.mapInArrow(_pieces(vocabulary, end_id, capacity), schema), "pieces")
     pieces = pieces.withColumn("row", F.monotonically_increasing_id())

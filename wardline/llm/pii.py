@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import strings
+from wardline.llm.common import strings, text_batches
 
 # The patterns of the base spans, in the order of the kinds.
 PATTERNS = {
@@ -368,7 +368,7 @@ def add_spans(docs: DataFrame, *, text_col: str = "text", weights: dict | None =
     ones.  A null or empty text has none; rows are independent, so repeated
     rows repeat their spans; an empty table gives no rows."""
     weights = learn(docs, id_col=id_col, text_col=text_col) if weights is None else weights
-    rows = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
+    rows = text_batches(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_scan(weights), f"{fields}, spans {SPANS}")
 

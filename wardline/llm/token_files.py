@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm import tokens
-from wardline.llm.common import range_bounds, range_of, ranges, shared_folder, strings
+from wardline.llm.common import range_bounds, range_of, ranges, shared_folder, strings, text_batches
 
 # Fixed values of the seekable zstandard format.
 SKIPPABLE_IDS = 0x184D2A50
@@ -180,7 +180,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, *, id_col: str
     folder = folder or shared_folder(spark, "tokens")
     target, path = file_system(folder)
     target.create_dir(path, recursive=True)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = ranges(spark)
     bounds = range_bounds(rows, "doc_id", n)
     framed = rows.withColumn("range", range_of(F.col("doc_id"), bounds)).mapInArrow(
