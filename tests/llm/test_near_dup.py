@@ -111,6 +111,23 @@ def test_chains_copies_and_borderline_groups(spark, percent):
     assert sorted((tuple(r) for r in got), key=str) == brute(docs, percent)
 
 
+def test_group_with_edits_from_a_small_vocabulary(spark):
+    """Copies of one text with one to fourteen of few possible edits: many are
+    near the threshold, and edits meet by chance."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(140)]
+    docs = []
+    for i in range(90):
+        copy = list(base)
+        for _ in range(rng.integers(1, 15)):
+            copy[rng.integers(len(copy))] = f"edit{rng.integers(3)}"
+        docs.append((int(i * 2 + 1), " ".join(copy)))
+    want = brute(docs, 85)
+    assert 5 < len({w[2] for w in want}) < 85
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=85).collect()
+    assert sorted((tuple(r) for r in got), key=str) == want
+
+
 def test_empty_table(no_docs):
     assert near_duplicates(no_docs).count() == 0
 

@@ -21,6 +21,8 @@ PERCENT = 80
 BAND_ROWS = 4
 #: Chance that a pair exactly at the threshold meets in no band.
 MISS = 1e-8
+#: A shingle of at most so many unsettled nodes is counted pair by pair.
+RARE = 16
 _SIGMA = np.uint64(0x6A09E667F3BCC909)
 
 
@@ -133,9 +135,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
        group of edited copies is (near) their original.
     4. Buckets whose nodes are then still in several components are finished
        exactly: nodes outside the bucket's largest component are checked
-       against all nodes of other components there.  So a group of many near
-       copies costs its size, not its square, and no link that could join two
-       components goes unchecked.
+       against all nodes of other components there that their shingles allow.
+       So a group of many near copies costs its size, not its square, and no
+       link that could join two components goes unchecked.
 
     Texts without words (null, empty, blank) have 0 shingles and are linked
     with nothing.  Rows without an id take part; a component without any id
@@ -171,11 +173,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = at.groupBy("bucket", "component").agg(F.count("*").alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "component")).alias("l"), F.count("*").alias("parts")).where("parts > 1")
     open_rows = stored(at.join(largest.select("bucket", F.col("l.component").alias("largest")), "bucket"), "buckets")
-    outside = open_rows.where("component <> largest").select(
-        "bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
-    more = outside.join(open_rows, "bucket").where("component <> cb and (component = largest or id < b)")
-    more = more.where(_can_link("n", "m", "nb", "mb", percent))
-    more = more.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _unsettled(open_rows, sets, percent).join(pairs, ["a", "b"], "left_anti")
     of_node = merged(known, stored(_verified(stored(more, "pairs"), sets, percent), "links"))
     labelled = nodes.select("id", "hi", "lo", "rep").join(of_node, "id", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "id"))
@@ -212,6 +210,39 @@ def _can_link(nx: str, mx: str, ny: str, my: str, percent: int):
     return 100 * most >= percent * (F.col(nx) + F.col(ny) - most)
 
 
+def _unsettled(open_rows: DataFrame, sets: DataFrame, percent: int, rare: int = RARE) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes in different components of a bucket that may
+    still be linked; one of them is outside the bucket's largest component.
+
+    Of their shingles, those that at most ``rare`` of these nodes have are
+    counted pair by pair, which is at most ``rare`` pairs for each; of the
+    others a pair shares at most as many as either has.  So a pair is made
+    either in its bucket, if the frequent shingles alone could do, or by the
+    rare shingles it shares."""
+    nodes = stored(open_rows.groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n"),
+                                               F.max(F.col("component") != F.col("largest")).alias("out")), "open")
+    held = sets.join(nodes.select("id"), "id").mapInArrow(_shingles, "id long, shingle long")
+    few = held.groupBy("shingle").agg(F.count("*").alias("k")).where(F.col("k") <= rare)
+    few = stored(held.join(few, "shingle"), "rare")
+    less = few.groupBy("id").agg(F.count("*").alias("few"))
+    nodes = nodes.join(less, "id", "left").withColumn("m", F.col("n") - F.coalesce("few", F.lit(0))).drop("few")
+    nodes = stored(nodes, "open")
+
+    at = open_rows.select("bucket", "id", "largest").join(nodes, "id")
+    outside = at.where("component <> largest").select(
+        "bucket", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    in_bucket = outside.join(at, "bucket").where("component <> cb and (component = largest or id < b)")
+    in_bucket = in_bucket.where(_can_link("n", "m", "nb", "mb", percent)).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))
+
+    shared = few.where("k > 1").select("id", "shingle").join(nodes, "id")
+    y = shared.where("out").select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    by_rare = y.join(shared, "shingle").where("component <> cb and (not out or id < b)")
+    by_rare = by_rare.groupBy("id", "b", "n", "m", "nb", "mb").agg(F.count("*").alias("r"))
+    most = F.col("r") + F.least("m", "mb")
+    by_rare = by_rare.where(100 * most >= percent * (F.col("n") + F.col("nb") - most))
+    return in_bucket.union(by_rare.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b"))).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs whose full sets share enough."""
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
