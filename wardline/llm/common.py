@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable
@@ -17,7 +18,7 @@ from wardline.session import checkpoint_dir
 T = TypeVar("T")
 
 #: Rows of texts that go to a Python worker at once.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 #: Upper bound of a driver-side list of range boundaries, whatever the cluster's settings.
 MAX_RANGES = 4096
 
@@ -77,12 +78,22 @@ def range_of(col: Column, bounds: list[int]) -> Column:
 _kept: dict[str, object] = {}
 
 
+def release_kept() -> None:
+    """Let go of what the worker keeps, and of freed memory it still holds."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+
 def kept_in_worker(key: str, make: Callable[[], T]) -> T:
     """The one large object that a Python worker keeps between its tasks; one
     of another key takes its place, so that stages do not add up."""
     if key not in _kept:
-        _kept.clear()
-        gc.collect()
+        release_kept()
         _kept[key] = make()
     return _kept[key]
 

@@ -31,8 +31,8 @@ EPOCHS = 5
 BATCH = 100
 SEED = 7
 #: Words kept per worker with their scores, and text worked on at once.
-KEPT_WORDS = 250_000
-BLOCK_BYTES = 5 << 20
+KEPT_WORDS = 120_000
+BLOCK_BYTES = 3 << 20
 
 _OPEN, _CLOSE = 2, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)

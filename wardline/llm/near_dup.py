@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import stored, text_batches
+from wardline.llm.common import release_kept, stored, text_batches
 from wardline.llm.components import components, merged
 from wardline.llm.shingles import mix64, shingle_sets
 
@@ -72,6 +72,7 @@ def _set_key(s: np.ndarray) -> tuple[int, int]:
 
 def _prints(shingle: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.llm.common import strings, text_batches
+from wardline.llm.common import release_kept, strings, text_batches
 
 # The patterns of the base spans, in the order of the kinds.
 PATTERNS = {
@@ -335,6 +335,7 @@ def _scan(weights: dict):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         field = Field(weights)
         for batch in batches:
             rows = []
