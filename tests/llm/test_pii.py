@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -102,3 +103,19 @@ def test_digest_and_redact(spark, edge_docs, no_docs, field):
         assert not plain_base(r.text or "")
     assert {r.doc_id: r.text for r in clean}[3] is None
     assert pii.digest(no_docs).count() == 0 and pii.redact(no_docs, {}).count() == 0
+
+
+def test_long_spellings_are_found_whole(field):
+    """Every spelling that ``_respell`` makes is a candidate, however many
+    labels the host has."""
+    rng = random.Random(1)
+    for base in ("jane.doe@cs.uni.edu", "bob@mail.example.co.uk", "a.b-c_d.e+f.g-h.i@x.y.z.uni.ac.uk",
+                 "john.doe@mail.long-department-name.university-of-somewhere.state.example.com"):
+        for s in {pii._respell("email", base, rng) for _ in range(40)}:
+            text = f"please write to {s}, or call us"
+            (_, _, tokens), = pii.windows(text)
+            whole = {text[tokens[i][0]:tokens[j - 1][1]] for i, j in field.segments(text, tokens)}
+            assert s in whole, s
+    for s in ("jane.doe [at] cs [dot] uni [dot] edu", "bob [at] mail [dot] example [dot] co [dot] uk"):
+        text = f"please write to {s} today"
+        assert [(k, text[a:b]) for k, a, b in pii.find_spans(text, field)[1]] == [("email", s)]

@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and a semi-Markov conditional random field
 that adds spans the patterns miss.
 
-The field's candidates are whole segments of up to ``MAX_TOKENS`` tokens.  Its
-weights are learned here from the corpus itself: spans found by the patterns,
+The field's candidates are whole segments of any length that have the form of
+an address or of a number.  Its weights are learned here from the corpus itself: spans found by the patterns,
 the same spans in other spellings, and look-alikes (dates, versions, amounts)
 that are not personal data."""
 
@@ -62,13 +62,16 @@ def base_spans(text: str) -> list[Span]:
 
 
 # -- segments and their features ------------------------------------------------
-MAX_TOKENS = 14
+#: The longest kind of number, a card, has so many digits; addresses end where
+#: their form ends, however many labels they have.
+MAX_DIGITS = 19
 #: Tokens on either side of a sign that belong to its window.
 MARGIN = 3
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 _TRIGGER = re.compile(r"[0-9]{2,}|@|\(at\)|\[at\]", re.IGNORECASE)
 _HOST = re.compile(r"[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+)+", re.IGNORECASE)
 _AT = re.compile(r"\s?(?:@|\(at\)|\[at\])\s?", re.IGNORECASE)
+_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _NUMBER = re.compile(r"\+?[0-9(][0-9().\s/-]*[0-9]")
 
 
@@ -79,13 +82,16 @@ def windows(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
         marks = [m.start() for m in _TRIGGER.finditer(text, *line.span())]
         if not marks:
             continue
-        a = None
+        a, reach = None, 0
         for k, mark in enumerate(marks):
             lo = max(line.start(), mark - 48) if a is None else a
             a = lo
-            if k + 1 < len(marks) and marks[k + 1] - mark <= 64:
+            at = _AT.match(text, mark, line.end())
+            host = at and _HOST.match(text, at.end(), line.end())
+            reach = max(reach, mark + 64, host.end() if host else 0)
+            if k + 1 < len(marks) and marks[k + 1] <= reach:
                 continue
-            hi = min(line.end(), mark + 64)
+            hi = min(line.end(), reach)
             while lo > line.start() and not text[lo - 1].isspace():
                 lo -= 1
             while hi < line.end() and not text[hi].isspace():
@@ -107,7 +113,7 @@ def segment_features(text: str, a: int, b: int) -> list[str] | None:
     at = _AT.search(s)
     if at:
         local, host = s[:at.start()], s[at.end():]
-        if not re.fullmatch(r"[A-Za-z0-9._%+-]+", local) or not _HOST.fullmatch(host):
+        if not _LOCAL.fullmatch(local) or not _HOST.fullmatch(host):
             return None
         if before and before in "._%+-@" or after and after in "@-" or (after == "." and text[b + 1:b + 2].isalnum()):
             return None
@@ -134,7 +140,7 @@ def segment_features(text: str, a: int, b: int) -> list[str] | None:
 class Field:
     """Segments of kinds 1..n and, of kind 0, single outside tokens (score 0).
     A path's score sums its segments' feature weights and the weights of
-    neighbouring kinds; segments are at most ``MAX_TOKENS`` long."""
+    neighbouring kinds."""
 
     def __init__(self, weights: dict[tuple[str, int], float] | None = None):
         self.w = defaultdict(float, weights or {})
@@ -142,17 +148,37 @@ class Field:
 
     def segments(self, text: str, tokens) -> dict[tuple[int, int], list[str]]:
         """Candidate segments (first token, one past the last) with features."""
-        out = {}
-        for i in range(len(tokens)):
-            c = text[tokens[i][0]]
+        out, n, hi = {}, len(tokens), tokens[-1][1] if tokens else 0
+        run, host = -1, None  # where the local part ends, and the host behind it
+
+        def take(i, j):
+            if f := segment_features(text, tokens[i][0], tokens[j - 1][1]):
+                out[i, j] = f
+
+        for i, (a, _) in enumerate(tokens):
+            c, digits = text[a], 0
             if not (c.isalnum() or c in "+("):
                 continue
-            for j in range(i + 1, min(len(tokens), i + MAX_TOKENS) + 1):
-                if c.isalpha() and j - i >= 2 and not _AT.search(text, tokens[i][0], tokens[j - 1][1]) and j - i > 8:
+            for j in range(i, n):
+                x, y = tokens[j]
+                if "0" <= text[x] <= "9":
+                    digits += y - x
+                    if digits > MAX_DIGITS:
+                        break
+                    take(i, j + 1)
+                elif text[x] not in "().-/" and (j > i or c != "+"):
                     break
-                f = segment_features(text, tokens[i][0], tokens[j - 1][1])
-                if f:
-                    out[i, j] = f
+            if a >= run:
+                local = _LOCAL.match(text, a, hi)
+                run = local.end() if local else -1
+                at = local and _AT.match(text, run, hi)
+                host = at and _HOST.match(text, at.end(), hi)
+            if host:
+                for j in range(i + 1, n):
+                    if tokens[j][1] > host.end():
+                        break
+                    if tokens[j][0] > host.start():
+                        take(i, j + 1)
         return out
 
     def score(self, features: list[str], kind: int) -> float:
