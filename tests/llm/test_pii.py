@@ -119,3 +119,18 @@ def test_long_spellings_are_found_whole(field):
     for s in ("jane.doe [at] cs [dot] uni [dot] edu", "bob [at] mail [dot] example [dot] co [dot] uk"):
         text = f"please write to {s} today"
         assert [(k, text[a:b]) for k, a, b in pii.find_spans(text, field)[1]] == [("email", s)]
+
+
+def test_rare_kinds_are_learned(spark, no_docs):
+    """A few cards and phones among many texts of years and prices, one of them
+    copied many times."""
+    rng = random.Random(4)
+    rows = [f"in {rng.randint(1900, 2030)} it cost {rng.randint(100, 9999)} a piece, says number {i}" for i in range(9000)]
+    rows += ["the same text of 2019 stands here very often"] * 6000
+    rows += [f"call me on +1 ({rng.randint(201, 989)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)} or never" for _ in range(12)]
+    rows += [f"paid with {VALID[:4]} {VALID[4:8]} {VALID[8:12]} {VALID[12:]} on day {i}" for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    rare = pii.Field(pii.learn(docs))
+    text = "call (988) 555-2485 today"
+    assert [(k, text[a:b]) for k, a, b in pii.find_spans(text, rare)[1]] == [("phone", "(988) 555-2485")]
+    assert pii.learn(no_docs) == {}

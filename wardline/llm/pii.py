@@ -8,6 +8,7 @@ that are not personal data."""
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
@@ -15,7 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import release_kept, strings, text_batches
@@ -270,7 +271,8 @@ class Field:
 
 
 # -- learning --------------------------------------------------------------------
-#: Documents with signs of personal data that the field is fitted on.
+#: Documents that the field is fitted on: in equal parts for each kind some that
+#: hold it, and one such part more of documents that hold none.
 FIT_DOCUMENTS = 600
 FIT_EPOCHS = 4
 SEED = 11
@@ -376,25 +378,50 @@ def _scan(weights: dict):
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 
 
-def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> dict:
-    """The field's weights from at most ``fit_documents`` documents that hold
-    digits or at-signs, chosen by a digest of id and text; the only thing
-    learned, and the only bounded sample."""
-    some = docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string"), text_col).alias("draw"))
-    some = some.where(F.col("t").rlike(r"@|[0-9]{3}|\+[0-9]"))
-    # tasks send their smallest digests, not texts; equal rows share a digest
-    last = some.select("draw").distinct().orderBy("draw").limit(fit_documents).agg(F.max("draw")).first()[0]
-    rows = some.where(F.col("draw") <= last).dropDuplicates(["draw"]).collect() if last is not None else []
-    rows = sorted(rows, key=lambda r: (r.draw, r.t))
-    return fit([r.t for r in rows])
+def _draws(most: int):
+    """Per task and kind (none: 0) the smallest digests of texts that hold it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list[set[int]] = [set() for _ in range(len(KINDS) + 1)]
+
+        def trim():
+            for k, draws in enumerate(least):
+                least[k] = set(heapq.nsmallest(most, draws))
+
+        for batch in batches:
+            for t, draw in zip(strings(batch.column("t")), batch.column("draw").to_pylist()):
+                for k in {KINDS.index(kind) + 1 for kind, _, _ in base_spans(t)} or {0}:
+                    least[k].add(draw)
+            trim()
+        rows = [(k, draw) for k, draws in enumerate(least) for draw in draws]
+        yield pa.record_batch([pa.array([k for k, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.int64())], names=["kind", "draw"])
+
+    return run
 
 
-def add_spans(docs: DataFrame, *, text_col: str = "text", weights: dict | None = None, id_col: str = "doc_id") -> DataFrame:
+def learn(docs: DataFrame, *, text_col: str = "text", fit_documents: int = FIT_DOCUMENTS) -> dict:
+    """The field's weights, the only thing learned, from the only bounded
+    sample: for each kind ``fit_documents`` / 4 texts with a valid base span of
+    it, however rare they are, and as many without any but with digits or
+    at-signs.  A digest of the text chooses, so equal texts count once."""
+    most = max(1, fit_documents // len(KINDS))
+    some = docs.select(F.col(text_col).alias("t")).where(F.col("t").rlike("@|[0-9]")).withColumn("draw", F.xxhash64("t"))
+    # tasks send their smallest digests per kind, not texts; equal texts share a digest
+    draws = text_batches(some).mapInArrow(_draws(most), "kind int, draw long").distinct()
+    nth = F.row_number().over(Window.partitionBy("kind").orderBy("draw"))
+    draws = [r.draw for r in draws.withColumn("nth", nth).where(F.col("nth") <= most).select("draw").distinct().collect()]
+    if not draws:
+        return fit([])
+    chosen = docs.sparkSession.createDataFrame([(d,) for d in draws], "draw long")
+    rows = some.join(F.broadcast(chosen), "draw", "left_semi").dropDuplicates(["draw"]).collect()
+    return fit([r.t for r in sorted(rows, key=lambda r: (r.draw, r.t))])
+
+
+def add_spans(docs: DataFrame, *, text_col: str = "text", weights: dict | None = None) -> DataFrame:
     """``docs`` with ``spans``: all personal data of the whole text by start,
     then kind, in code points, ``base`` telling pattern matches from added
     ones.  A null or empty text has none; rows are independent, so repeated
     rows repeat their spans; an empty table gives no rows."""
-    weights = learn(docs, id_col=id_col, text_col=text_col) if weights is None else weights
+    weights = learn(docs, text_col=text_col) if weights is None else weights
     rows = text_batches(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(_scan(weights), f"{fields}, spans {SPANS}")
