@@ -4,7 +4,10 @@ word of a text, also of code-switched text, by forward-backward."""
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -34,6 +37,9 @@ SEED = 7
 KEPT_WORDS = 120_000
 BLOCK_BYTES = 3 << 20
 
+#: A script is a language's own from this share of its letters on.
+OWN_SCRIPT = 0.01
+
 _OPEN, _CLOSE = 2, 3
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -64,11 +70,18 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(ids) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.concatenate(of)
 
 
+def script(letter: str) -> str:
+    """The script of a letter, as its Unicode name begins (LATIN, CJK, ...)."""
+    return unicodedata.name(letter, "?").partition(" ")[0].partition("-")[0]
+
+
 class WordField:
-    """Labels, feature weights (table x labels) and transition weights."""
+    """Labels, feature weights (table x labels), transition weights, and the
+    scripts that the languages are written in."""
 
-    def __init__(self, labels: list[str], weights: np.ndarray | None = None, moves: np.ndarray | None = None):
+    def __init__(self, labels: list[str], weights: np.ndarray | None = None, moves: np.ndarray | None = None, scripts: frozenset[str] = frozenset()):
         n = len(labels)
+        self.scripts = scripts
         self.labels = labels
         self.weights = np.zeros((1 << TABLE_BITS, n), np.float32) if weights is None else weights
         self.moves = np.zeros((n, n)) if moves is None else moves
@@ -130,6 +143,12 @@ def fit(labelled: list[tuple[str, str]], *, sequences: int = FIT_SEQUENCES, epoc
     by_label = {k: v for k, v in by_label.items() if v}
     if not by_label:
         return field
+    for docs in by_label.values():
+        letters: Counter = Counter()
+        for c, n in Counter("".join(chain.from_iterable(docs))).items():
+            if c.isalpha():
+                letters[script(c)] += n
+        field.scripts |= {k for k, n in letters.items() if n >= OWN_SCRIPT * letters.total()}
     rng = np.random.default_rng(seed)
     usable = sorted(by_label)
     tokens, gold = [], []
@@ -244,16 +263,34 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return fit([(r.text, r.lang) for r in sorted(taken, key=lambda r: (r.lang, r.draw, r.text))])
 
 
-def predict(docs: DataFrame, field: WordField, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the text alone.
-    Null texts and texts without a letter are ``und`` with score 0; rows are
+def letter_classes(scripts: frozenset[str]) -> bytes:
+    """Per code point 0 (no letter), 1 (a letter of these scripts) or 2."""
+    return bytes((1 if script(c) in scripts else 2) if (c := chr(i)).isalpha() else 0 for i in range(sys.maxunicode + 1))
+
+
+def written(text: str, classes: np.ndarray) -> float:
+    """Share of a text's letters that are of class 1."""
+    if text.isascii():
+        code = np.frombuffer(text.encode(), np.uint8)
+    else:
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    _, own, other = np.bincount(classes[code], minlength=3).tolist()
+    return own / max(1, own + other)
+
+
+def predict(docs: DataFrame, field: WordField, *, text_col: str = "text", written_col: str | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the text alone,
+    and if asked ``written_col``, the share of a text's letters that are of the
+    learned languages' scripts.  Null texts and texts without a letter are ``und`` with score 0; rows are
     independent; an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.moves))
 
     mark = uuid.uuid4().hex
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    letters = docs.sparkSession.sparkContext.broadcast(letter_classes(field.scripts)) if written_col else None
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", written_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = np.frombuffer(letters.value, np.uint8) if letters else None
         own = kept_in_worker(f"labeller {mark}", lambda: Labeller(WordField(*model.value)))
         for batch in batches:
             texts = strings(batch.column(text_col))
@@ -262,12 +299,13 @@ def predict(docs: DataFrame, field: WordField, *, text_col: str = "text") -> Dat
                 x, y = own.predict(texts[a:b])
                 langs += x
                 scores += y
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                                             [*names, "lang_pred", "score"])
+            more = [pa.array([written(t, classes) for t in texts], pa.float64())] if written_col else []
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more],
+                                             [*names, "lang_pred", "score", *[written_col] * len(more)])
 
     kept = text_batches(docs.select(*names))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}lang_pred string, score double")
+    return kept.mapInArrow(run, f"{fields}lang_pred string, score double" + f", `{written_col}` double" * bool(written_col))
 
 
 def label_words(docs: DataFrame, field: WordField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
