@@ -143,3 +143,10 @@ def op10_personal_data(spark, sf_dir):
     from wardline.llm.pii import digest
 
     return digest(table(spark, sf_dir, "documents"))
+
+
+@register("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    from wardline.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
