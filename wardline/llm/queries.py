@@ -150,3 +150,27 @@ def op12_whitening(spark, sf_dir):
     from wardline.llm.whitening import whiten
 
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_ranked_search", """
+WITH words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS a FROM documents),
+stat AS (SELECT CAST(count(*) FILTER (WHERE len(a) > 0) AS BIGINT) AS n_docs, CAST(sum(len(a)) AS BIGINT) AS n_terms FROM words),
+tf AS (SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(a) AS term FROM words) GROUP BY r, term),
+asked AS (
+  SELECT q, item_id, term, CAST(count(*) AS BIGINT) AS times FROM (
+    SELECT row_number() OVER () AS q, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark) GROUP BY q, item_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, stat
+      WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs),
+m AS (SELECT r, doc_id, 100 - 25 + ((25 * CAST(len(a) AS BIGINT) * n_docs) // n_terms) AS m FROM words, stat WHERE len(a) > 0),
+scored AS (SELECT q, item_id, m.r, m.doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m.m))) AS BIGINT) AS score
+           FROM asked JOIN w USING (term) JOIN tf USING (term) JOIN m ON m.r = tf.r GROUP BY q, item_id, m.r, m.doc_id),
+best AS (SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best WHERE rank <= 20
+""")
+def op13_ranked_search(spark, sf_dir):
+    from wardline.llm.ranked_search import rank_documents
+
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
