@@ -174,3 +174,13 @@ def op13_ranked_search(spark, sf_dir):
     from wardline.llm.ranked_search import rank_documents
 
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op11_quality")
+def op11_quality(spark, sf_dir):
+    from wardline.llm import quality
+    from wardline.llm.langid import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    net = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "text"), net).drop("text")
