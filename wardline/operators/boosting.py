@@ -86,6 +86,9 @@ def quantile_bins(df: DataFrame, vector_col: str, bins: int = MAX_BINS, accuracy
     return Bins([np.unique(np.array(row[i] or [0.0]))[:-1] for i in range(n)])
 
 
+NODE = "feature int, cut int, left int, right int, value double, cover double, threshold double"
+
+
 # -- growing one tree -------------------------------------------------------------
 @dataclass
 class Tree:
@@ -177,7 +180,9 @@ def grow(histograms: Callable[[list[int], Tree], np.ndarray], bins: Bins, p: Par
                 below += [left[node], right[node]]
         depth += 1
         last = p.max_depth is not None and depth >= p.max_depth
-        frontier = [] if last else [i for i in below if total[i][2] >= p.min_split]
+        # a node that cannot give both children enough needs no sums
+        least = (0.0 if p.loss == "mean" else 2 * p.min_child_weight, max(p.min_split, 2 * p.min_leaf))
+        frontier = [] if last else [i for i in below if total[i][1] >= least[0] and total[i][2] >= least[1]]
     for node in range(len(feature) - 1, -1, -1):
         if left[node] >= 0 and left[left[node]] < 0 and left[right[node]] < 0 and gains[node] < p.gamma:
             feature[node], cut[node], left[node], right[node] = -1, -1, -1, -1
@@ -358,6 +363,11 @@ class BoostedTrees:
         return Forest(np.full(len(sizes), each), begin, shift("left"), shift("right"), whole("feature"), whole("threshold"),
                       [None] * sum(sizes), whole("value"), whole("cover"))
 
+    def table(self, spark) -> DataFrame:
+        """A row per node, as large as the model."""
+        rows = [(k, n, *(getattr(t, f.name)[n].item() for f in dataclasses.fields(t))) for k, t in enumerate(self.trees) for n in range(len(t.left))]
+        return spark.createDataFrame(rows, "tree int, node int, " + NODE)
+
     def score(self, df: DataFrame, keep: Sequence[str], vector_col: str = "features", threshold: float = 0.5) -> DataFrame:
         """``(*keep, probability, prediction)``; the model is as large as its
         trees, whatever it was learned from."""

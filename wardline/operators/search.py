@@ -140,7 +140,6 @@ def fit_all(train: DataFrame, label: str, weight: str | None, p: B.Params, bins:
         for k, t in enumerate(trees):
             yield pd.DataFrame({"tree": k, "node": range(len(t.left)), **{f.name: getattr(t, f.name) for f in dataclasses.fields(t)}})
 
-    schema = "tree int, node int, feature int, cut int, left int, right int, value double, cover double, threshold double"
-    table = rows.repartition(1).mapInPandas(run, schema).toPandas().sort_values(["tree", "node"])
+    table = rows.repartition(1).mapInPandas(run, "tree int, node int, " + B.NODE).toPandas().sort_values(["tree", "node"])
     trees = [B.Tree(**{f.name: t[f.name].to_numpy() for f in dataclasses.fields(B.Tree)}) for _, t in table.groupby("tree")]
     return B.BoostedTrees(trees, p.loss)

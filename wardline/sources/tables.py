@@ -98,18 +98,93 @@ def read_master(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
 
 
 # -- S7 ----------------------------------------------------------------------
-def append_runs(runs: DataFrame, path: str) -> None:
-    """Append run records ``(run_name, stage, params map, metrics map, …)``."""
-    runs.write.mode("append").parquet(path)
+RUNS = "wardline-runs"
 
 
-def log_runs(runs: DataFrame) -> DataFrame:
-    """Append the records, stamped with a run id and the time, to the run log
-    in the shared folder, and read these records back from it."""
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of a path in the shared folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _entry(spark: SparkSession, path: str) -> str | None:
+    """A manifest entry's folder, or None while its line is not complete."""
+    lines = spark.read.text(path, wholetext=True).collect()  # one short line
+    text = lines[0][0] if lines else ""
+    return text.strip() if text.endswith("\n") else None
+
+
+def _entries(spark: SparkSession, root: str) -> dict[str, list[tuple[int, str]]]:
+    """Per run key the attempts' entries, by number."""
+    fs, folder = _hadoop(spark, f"{root}/manifest")
+    found: dict[str, list[tuple[int, str]]] = {}
+    for st in fs.listStatus(folder) if fs.exists(folder) else []:
+        name = st.getPath().getName()
+        if not name.startswith("."):
+            key, _, attempt = name.rpartition("-")
+            found.setdefault(key, []).append((int(attempt), st.getPath().toString()))
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def committed_runs(spark: SparkSession, root: str, key: str | None = None) -> list[str]:
+    """Folders of the committed records: for each key the first complete entry."""
+    out = []
+    for k, attempts in sorted(_entries(spark, root).items()):
+        if key in (None, k):
+            out += [f for _, path in attempts if (f := _entry(spark, path))][:1]
+    return out
+
+
+def commit_run(spark: SparkSession, root: str, key: str, folder: str) -> bool:
+    """Enter a finished folder under ``key``; False if the key has one already.
+    An entry is created exclusively, so of two writers one gets the number; an
+    entry that a dead writer left incomplete does not count."""
+    attempts = _entries(spark, root).get(key, [])
+    if any(_entry(spark, path) for _, path in attempts):
+        return False
+    fs, path = _hadoop(spark, f"{root}/manifest/{key}-{len(attempts)}")
+    fs.mkdirs(path.getParent())
+    try:
+        out = fs.create(path, False)
+    except Exception as e:  # the other writer was first
+        if "exist" in str(e).lower():
+            return False
+        raise
+    out.write(bytearray(f"{folder}\n".encode()))
+    out.close()
+    return True
+
+
+def append_runs(runs: DataFrame, root: str, key: str | None = None, artifacts: dict[str, DataFrame] | None = None) -> str:
+    """Add run records ``(run_name, stage, params map, metrics map)`` to the log
+    at ``root``; returns the key.  Records and artifacts (a table per run name)
+    are written first, into folders of their own, and count with the manifest
+    entry; a job that is run again under its key leaves its first record."""
+    spark, run_id = runs.sparkSession, uuid.uuid4().hex
+    key, paths = key or run_id, {}
+    for name, df in (artifacts or {}).items():
+        paths[name] = f"{root}/artifacts/{run_id}/{name}"
+        df.write.parquet(paths[name])
+    where = F.coalesce(*[F.when(F.col("run_name") == n, F.lit(p)) for n, p in paths.items()], F.lit(None).cast("string"))
+    folder = f"{root}/records/{run_id}"
+    runs.withColumns({"artifact": where, "run_id": F.lit(run_id), "logged_at": F.current_timestamp()}).write.parquet(folder)
+    commit_run(spark, root, key, folder)
+    return key
+
+
+def read_runs(spark: SparkSession, root: str, key: str | None = None) -> DataFrame:
+    """The committed records, of one key or all."""
+    return spark.read.parquet(*committed_runs(spark, root, key))
+
+
+def runs_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{RUNS}"
+
+
+def log_runs(runs: DataFrame, key: str | None = None, artifacts: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Add the records to the log in the shared folder and read them back from it."""
     spark = runs.sparkSession
-    path, run_id = f"{checkpoint_dir(spark).rstrip('/')}/wardline-runs", uuid.uuid4().hex
-    append_runs(runs.withColumns({"run_id": F.lit(run_id), "logged_at": F.current_timestamp()}), path)
-    return spark.read.parquet(path).filter(F.col("run_id") == run_id)
+    return read_runs(spark, runs_folder(spark), append_runs(runs, runs_folder(spark), key, artifacts))
 
 
 # -- S8 ----------------------------------------------------------------------
