@@ -3,7 +3,8 @@
 A daily series is bounded by its calendar (thousands of rows however large
 the detail tables behind it), so each series is one ``applyInPandas`` group
 and many series are fitted in parallel.  The estimation is least squares,
-not the state-space maximum likelihood of the reference's library:
+except that forecasts are made by exact likelihood (``statespace``), which the
+least-squares estimates start:
 
 * ADF: ``Δy_t = α + γ·y_{t-1} + Σ β_i·Δy_{t-i}``, lag order by AIC over a
   common sample (maxlag = ⌈12·(n/100)^¼⌉), t-statistic of γ, p-value from
@@ -11,8 +12,7 @@ not the state-space maximum likelihood of the reference's library:
 * ARIMA (Hannan–Rissanen): ``d`` from the ADF test; a long AR gives
   innovation estimates; every ``(p, q[, P, Q])`` within the reference's
   bounds is fitted by least squares on lagged values and lagged
-  innovations and the lowest AIC wins; forecasts recurse with future
-  innovations 0 and a 95% band from the ψ-weights.
+  innovations and the lowest AIC wins (``select_arima``, a quick choice).
 """
 
 from __future__ import annotations
@@ -59,9 +59,19 @@ def _ols(y: np.ndarray, X: np.ndarray):
 
 
 def adf(y: np.ndarray, maxlag: int | None = None) -> dict:
-    """Augmented Dickey-Fuller with a constant; lag order by AIC."""
+    """Augmented Dickey-Fuller with a constant; lag order by AIC.
+
+    ``status`` is ``ok``; ``too_short`` below 6 values, ``constant``, or
+    ``exact`` where the regression leaves nothing (a line, a short cycle): then
+    there is no statistic, and ``p_value`` is null."""
     y = np.asarray(y, dtype=float)
     n = len(y)
+    none = {"adf_stat": None, "p_value": None, "used_lag": 0, "n_obs": max(0, n - 1)}
+    if n < 6:
+        return none | {"status": "too_short"}
+    if np.ptp(y) == 0:
+        return none | {"status": "constant"}
+    nothing = 1e-18 * float(np.sum((y - y.mean()) ** 2))
     if maxlag is None:
         maxlag = int(math.ceil(12.0 * (n / 100.0) ** 0.25))
         maxlag = max(0, min(n // 2 - 2, maxlag))
@@ -79,6 +89,8 @@ def adf(y: np.ndarray, maxlag: int | None = None) -> dict:
         _, _, ssr = _ols(yy, X)
         m = len(yy)
         k = X.shape[1]
+        if ssr <= nothing:
+            return none | {"status": "exact"}
         aic = -2 * (-m / 2 * (math.log(2 * math.pi) + math.log(ssr / m) + 1)) + 2 * k
         if best is None or aic < best[0]:
             best = (aic, lag)
@@ -86,20 +98,23 @@ def adf(y: np.ndarray, maxlag: int | None = None) -> dict:
     yy, X = design(lag, lag)
     beta, resid, ssr = _ols(yy, X)
     m, k = X.shape
+    if ssr <= nothing or m <= k:
+        return none | {"status": "exact" if ssr <= nothing else "too_short"}
     sigma2 = ssr / (m - k)
     cov = sigma2 * np.linalg.pinv(X.T @ X)
     stat = float(beta[0] / math.sqrt(cov[0, 0]))
-    return {"adf_stat": stat, "p_value": mackinnon_p(stat), "used_lag": lag, "n_obs": m}
+    return {"adf_stat": stat, "p_value": mackinnon_p(stat), "used_lag": lag, "n_obs": m, "status": "ok"}
 
 
-ADF_SCHEMA = "series string, adf_stat double, p_value double, used_lag int, n_obs int, is_stationary boolean"
+ADF_SCHEMA = "series string, adf_stat double, p_value double, used_lag int, n_obs int, status string, is_stationary boolean"
 
 
 def adf_test(s: DataFrame, alpha: float = 0.05) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         r = adf(pdf["value"].to_numpy())
-        return pd.DataFrame([{"series": pdf["series"].iloc[0], **r, "is_stationary": r["p_value"] < alpha}])
+        stationary = r["p_value"] < alpha if r["p_value"] is not None else True if r["status"] == "constant" else None
+        return pd.DataFrame([{"series": pdf["series"].iloc[0], **r, "is_stationary": stationary}]).astype({"is_stationary": object})
 
     return s.select("series", "date", "value").groupBy("series").applyInPandas(run, ADF_SCHEMA)
 
@@ -114,7 +129,7 @@ def select_arima(y: np.ndarray, seasonal: bool, m: int = 7, max_p: int = 3, max_
     """Order search over the reference's bounds by AIC (Hannan–Rissanen)."""
     y = np.asarray(y, dtype=float)
     d, w = 0, y
-    while d < 2 and adf(w)["p_value"] >= alpha:
+    while d < 2 and (adf(w)["p_value"] or 0.0) >= alpha:
         w = np.diff(w)
         d += 1
     n = len(w)
@@ -175,46 +190,67 @@ def forecast_arima(fit: dict, horizon: int, z: float = 1.959964) -> tuple[np.nda
 
 
 ARIMA_SCHEMA = ("series string, date date, value double, forecast double, lower double, upper double, "
-                "p int, d int, q int, sp int, sq int, aic double, status string")
+                "p int, d int, q int, sp int, sd int, sq int, log_likelihood double, aic double, status string")
 #: Training days below which orders are not searched.
 MIN_TRAIN_DAYS = 60
 
 
 def arima_forecast(s: DataFrame, train_end: str, test_start: str, seasonal: bool | None = None,
                    min_train: int = MIN_TRAIN_DAYS) -> DataFrame:
-    """Fit on the training days, forecast every test day of each series.
+    """Fit by exact likelihood on the training days (``statespace``), forecast
+    every test day of each series.
 
     ``seasonal=None`` decides per series from the seasonal strength (X5).
-    ``status`` is ``arima``; with fewer than ``min_train`` training days it is
-    ``mean`` (their mean, the band from their spread, orders null), and
-    ``no_training`` with nulls where there are none."""
+    ``status`` is ``arima``; ``exact`` where differencing leaves a constant (a
+    constant or linear series, or a fixed week), which goes on as it is with no
+    band; with fewer than ``min_train`` training days ``mean`` (their mean, the
+    band from their spread); and ``no_training`` with nulls where there are
+    none.  Orders are null unless fitted."""
+    from wardline.operators import statespace as SS
+
     sp = S.time_split(s, train_end, test_start)
     strength = S.seasonal_strength(S.seasonal_decompose(sp.filter(F.col("split") == "train").drop("split")))
     sp = sp.join(strength.select("series", "is_seasonal"), "series", "left")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
-        tr = pdf[pdf["split"] == "train"]
+        tr = pdf[pdf["split"] == "train"]["value"].to_numpy(dtype=float)
         te = pdf[pdf["split"] == "test"]
         if te.empty:
             return pd.DataFrame(columns=ARIMA_SCHEMA_COLS)
+        out = {"series": te["series"].to_numpy(), "date": te["date"].to_numpy(), "value": te["value"].to_numpy()}
+        orders = dict.fromkeys(("p", "d", "q", "sp", "sd", "sq", "log_likelihood", "aic"))
         if len(tr) < min_train:
-            mean = tr["value"].mean() if len(tr) else np.nan
-            half = 1.959964 * (tr["value"].std(ddof=0) if len(tr) else np.nan)
-            return pd.DataFrame({
-                "series": te["series"].to_numpy(), "date": te["date"].to_numpy(), "value": te["value"].to_numpy(),
-                "forecast": mean, "lower": mean - half, "upper": mean + half, "p": None, "d": None, "q": None,
-                "sp": None, "sq": None, "aic": None, "status": "mean" if len(tr) else "no_training"})
-        use_seasonal = (pdf["is_seasonal"].iloc[0] is True or bool(pdf["is_seasonal"].fillna(False).iloc[0])) if seasonal is None else seasonal
-        fit = select_arima(tr["value"].to_numpy(), use_seasonal)
-        f, lo, hi = forecast_arima(fit, len(te))
-        return pd.DataFrame({
-            "series": te["series"].to_numpy(), "date": te["date"].to_numpy(), "value": te["value"].to_numpy(),
-            "forecast": f, "lower": lo, "upper": hi, "p": fit["p"], "d": fit["d"], "q": fit["q"],
-            "sp": fit["P"], "sq": fit["Q"], "aic": fit["aic"], "status": "arima",
-        })
+            mean, spread = (tr.mean(), 1.959964 * tr.std()) if len(tr) else (np.nan, np.nan)
+            return pd.DataFrame({**out, "forecast": mean, "lower": mean - spread, "upper": mean + spread, **orders, "status": "mean" if len(tr) else "no_training"})
+        weekly = (bool(pdf["is_seasonal"].iloc[0]) if pd.notna(pdf["is_seasonal"].iloc[0]) else False) if seasonal is None else seasonal
+        fit = SS.select(tr, weekly)
+        if fit is None:
+            level = goes_on(tr, len(te))
+            return pd.DataFrame({**out, "forecast": level, "lower": level, "upper": level, **orders, "status": "exact"})
+        f, lo, hi = SS.forecast(fit, len(te))
+        o = fit.order
+        orders = {"p": o.p, "d": o.d, "q": o.q, "sp": o.P, "sd": o.D, "sq": o.Q, "log_likelihood": fit.loglik, "aic": fit.aic}
+        return pd.DataFrame({**out, "forecast": f, "lower": lo, "upper": hi, **orders, "status": "arima"})
 
     return sp.groupBy("series").applyInPandas(run, ARIMA_SCHEMA)
 
 
+def goes_on(y: np.ndarray, horizon: int, m: int = 7) -> np.ndarray:
+    """A series that repeats exactly, as a line, a cycle of up to ``m`` days or
+    both, continued; else its last value."""
+    scale = 1e-9 * max(1.0, float(np.abs(y).max()))
+    cycles = [np.array([1.0, *[0.0] * (k - 1), -1.0]) for k in range(1, m + 1)]
+    for lag in [*cycles, *(np.convolve([1.0, -1.0], c) for c in cycles)]:
+        rest = np.convolve(y, lag, "valid")
+        if len(rest) and np.abs(rest - rest[-1]).max() <= scale:
+            break
+    else:
+        lag, rest = [1.0, -1.0], np.zeros(1)
+    out = list(y)
+    for _ in range(horizon):
+        out.append(rest[-1] - sum(c * out[-i] for i, c in enumerate(lag[1:], 1)))
+    return np.array(out[len(y):])
+
+
 ARIMA_SCHEMA_COLS = [c.split()[0] for c in ARIMA_SCHEMA.split(", ")]
