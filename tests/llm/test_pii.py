@@ -134,3 +134,36 @@ def test_rare_kinds_are_learned(spark, no_docs):
     text = "call (988) 555-2485 today"
     assert [(k, text[a:b]) for k, a, b in pii.find_spans(text, rare)[1]] == [("phone", "(988) 555-2485")]
     assert pii.learn(no_docs) == {}
+
+
+def test_long_runs_end_and_windows_do_not_overlap():
+    import time
+
+    from wardline.llm import pii
+
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.2.3") == [("ip", 0, 5006)]
+    assert pii.base_spans(f"9{zeros}.1.2.3") == []
+    field = pii.Field({("bias", 4): 5.0})  # every number is a phone
+    for n in (2, 4, 8):
+        line = "我的号码是，" + "，或者、".join(f"555-123-45{i:02d}" for i in range(n)) + "。谢谢"
+        spans = pii.find_spans(line, field)[1]
+        assert len(spans) == len(set(spans)) and all(b <= c for (_, _, b), (_, c, _) in zip(spans, spans[1:]))
+        pieces = list(pii.windows(line))
+        assert all(hi <= lo for (_, hi, _), (lo, _, _) in zip(pieces, pieces[1:]))
+    for line in ("5551234" * 14_000, "a1." * 30_000, "x@" + "b." * 40_000 + "org", "(" * 80_000 + "12", "号12345码" * 14_000, "a" * 100_000 + " @"):
+        began = time.process_time()
+        pii.find_spans(line, pii.Field())
+        assert time.process_time() - began < 20
+
+
+def test_faster_patterns_find_the_same_matches():
+    import random
+
+    from wardline.llm import pii
+
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "b.c", "@", "%", "1", "23", ".", "-", "_", " ", "x@y.z", "1.2.3.4", "+"], k=rng.randint(1, 14)))
+        for kind, pattern in pii._COMPILED.items():
+            assert [m.span() for m in pii._matches(kind, text)] == [m.span() for m in pattern.finditer(text)], text

@@ -12,8 +12,11 @@ import heapq
 import math
 import random
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
+from bisect import bisect_left
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -33,9 +36,26 @@ _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: A text without the kind's sign holds no span of it.
 _SIGN = {"email": re.compile("@"), "ip": re.compile("[0-9]"), "card": re.compile("[0-9]{2}|[0-9][ -][0-9]"), "phone": re.compile(r"\+")}
 
+#: The same matches without trying every start of a long run: from inside a run
+#: of digits or of local-part characters nothing matches that does not match
+#: from its beginning.  An address may begin where the one before it ended.
+_RUNS = {"ip": re.compile("(?<![0-9])" + PATTERNS["ip"].replace("+", "++")),
+         "email": re.compile(r"(?<![A-Za-z0-9._%+-])" + PATTERNS["email"].replace("]+@", "]++@"))}
+_EMAIL_HERE = re.compile(PATTERNS["email"].replace("]+@", "]++@"))
+
 Span = tuple[str, int, int]
 
 
+def _matches(kind: str, text: str) -> Iterator[re.Match]:
+    if kind != "email":
+        yield from _RUNS.get(kind, _COMPILED[kind]).finditer(text)
+        return
+    at = 0
+    while m := (at and _EMAIL_HERE.match(text, at)) or _RUNS[kind].search(text, at):
+        yield m
+        at = m.end()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, d in enumerate(map(int, reversed(digits))):
@@ -47,7 +67,8 @@ def _holds(kind: str, text: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in text.split("."))
+        parts = [p.lstrip("0") for p in text.split(".")]  # any number of zeros in front
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in parts)
     digits = re.sub("[^0-9]", "", text)
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
@@ -56,9 +77,9 @@ def base_spans(text: str) -> list[Span]:
     """Leftmost non-overlapping matches per kind that pass the kind's test, by
     start, then kind."""
     found = []
-    for order, (kind, pattern) in enumerate(_COMPILED.items()):
+    for order, kind in enumerate(KINDS):
         if _SIGN[kind].search(text):
-            found += [(m.start(), order, m.end()) for m in pattern.finditer(text) if _holds(kind, m.group())]
+            found += [(m.start(), order, m.end()) for m in _matches(kind, text) if _holds(kind, m.group())]
     return [(KINDS[o], a, b) for a, o, b in sorted(found)]
 
 
@@ -70,37 +91,41 @@ MAX_DIGITS = 19
 MARGIN = 3
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
 _TRIGGER = re.compile(r"[0-9]{2,}|@|\(at\)|\[at\]", re.IGNORECASE)
-_HOST = re.compile(r"[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+)+", re.IGNORECASE)
+#: A host has at most 127 labels; signs of a number in a row, at most.
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\s?(?:\.|\(dot\)|\[dot\])\s?[A-Za-z0-9-]+){1,126}", re.IGNORECASE)
+MAX_SIGNS = 4
 _AT = re.compile(r"\s?(?:@|\(at\)|\[at\])\s?", re.IGNORECASE)
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _NUMBER = re.compile(r"\+?[0-9(][0-9().\s/-]*[0-9]")
+#: What segments can hold besides blanks: a window's ends go on over these.
+_INSIDE = re.compile(r"[A-Za-z0-9._%+@()\[\]/-]*")
 
 
 def windows(text: str) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """(start, end, tokens) of the pieces of a line around digits and at-signs;
-    all else is outside any entity."""
+    all else is outside any entity.  Windows do not overlap, and end at signs
+    that no segment holds, so the work is linear in the line."""
     for line in re.finditer(r"[^\n]+", text) if _TRIGGER.search(text) else ():
-        marks = [m.start() for m in _TRIGGER.finditer(text, *line.span())]
-        if not marks:
-            continue
-        a, reach = None, 0
-        for k, mark in enumerate(marks):
-            lo = max(line.start(), mark - 48) if a is None else a
-            a = lo
-            at = _AT.match(text, mark, line.end())
-            host = at and _HOST.match(text, at.end(), line.end())
-            reach = max(reach, mark + 64, host.end() if host else 0)
-            if k + 1 < len(marks) and marks[k + 1] <= reach:
+        begin, end = line.span()
+        lo = reach = -1
+        done = begin  # the end of the window before
+        for m in chain(_TRIGGER.finditer(text, begin, end), (None,)):
+            mark = m.start() if m else end + 65
+            if lo >= 0 and mark > reach:
+                hi = min(end, max(reach, done))
+                hi = _INSIDE.match(text, hi, end).end()
+                while lo > done and _INSIDE.fullmatch(text, lo - 1, lo):
+                    lo -= 1
+                if tokens := [t.span() for t in _TOKEN.finditer(text, lo, hi)]:
+                    yield lo, hi, tokens
+                lo, done = -1, hi
+            if m is None or mark < done:
                 continue
-            hi = min(line.end(), reach)
-            while lo > line.start() and not text[lo - 1].isspace():
-                lo -= 1
-            while hi < line.end() and not text[hi].isspace():
-                hi += 1
-            tokens = [m.span() for m in _TOKEN.finditer(text, lo, hi)]
-            if tokens:
-                yield lo, hi, tokens
-            a = None
+            if lo < 0:
+                lo = max(done, mark - 48)
+            at = _AT.match(text, mark, end)
+            host = at and _HOST.match(text, at.end(), end)
+            reach = max(reach, mark + 64, host.end() if host else 0)
 
 
 def segment_features(text: str, a: int, b: int) -> list[str] | None:
@@ -157,28 +182,32 @@ class Field:
                 out[i, j] = f
 
         for i, (a, _) in enumerate(tokens):
-            c, digits = text[a], 0
+            c, digits, signs = text[a], 0, 0
             if not (c.isalnum() or c in "+("):
                 continue
             for j in range(i, n):
                 x, y = tokens[j]
                 if "0" <= text[x] <= "9":
-                    digits += y - x
+                    digits, signs = digits + y - x, 0
                     if digits > MAX_DIGITS:
                         break
                     take(i, j + 1)
                 elif text[x] not in "().-/" and (j > i or c != "+"):
                     break
+                elif (signs := signs + 1) > MAX_SIGNS:
+                    break
             if a >= run:
                 local = _LOCAL.match(text, a, hi)
                 run = local.end() if local else -1
                 at = local and _AT.match(text, run, hi)
                 host = at and _HOST.match(text, at.end(), hi)
-            if host:
+            if host and not _LOCAL.match(text, a - 1, a) or host and not a:  # no address begins inside a local part
                 for j in range(i + 1, n):
-                    if tokens[j][1] > host.end():
+                    b = tokens[j][1]
+                    if b > host.end():
                         break
-                    if tokens[j][0] > host.start():
+                    after = text[b:b + 1]
+                    if tokens[j][0] > host.start() and not (after and after in "@-" or after == "." and text[b + 1:b + 2].isalnum()):
                         take(i, j + 1)
         return out
 
@@ -342,13 +371,20 @@ def find_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, added spans).  A segment that touches a base span is no
     candidate, so base spans stay as they are."""
     base = base_spans(text)
+    starts, ends = [], []  # the base spans' union
+    for _, x, y in base:
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
     added = []
     for _, _, tokens in windows(text):
         segments = field.segments(text, tokens)
         free = {}
         for (i, j), f in segments.items():
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if all(b <= x or a >= y for _, x, y in base):
+            k = bisect_left(starts, tokens[j - 1][1])  # unions that begin before the segment's end
+            if not k or ends[k - 1] <= tokens[i][0]:
                 free[i, j] = f
         for i, j, k in field.decode(len(tokens), free) if free else ():
             added.append((KINDS[k - 1], tokens[i][0], tokens[j - 1][1]))
@@ -359,7 +395,7 @@ def ordered(spans: list[Span]) -> list[Span]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def _scan(weights: dict):
+def _scan(weights: dict, out: str):
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +405,10 @@ def _scan(weights: dict):
             rows = []
             for t in strings(batch.column("text")):
                 base, added = find_spans(t, field)
-                rows.append([{"kind": k, "start": a, "end": b, "base": (k, a, b) in base} for k, a, b in ordered(base + added)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, "spans"])
+                known = set(base)
+                rows.append([{"kind": k, "start": a, "end": b, "base": (k, a, b) in known} for k, a, b in ordered(base + added)])
+            names = [n for n in batch.schema.names if n != out]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(rows, kind)], [*names, out])
 
     return run
 
@@ -416,20 +454,21 @@ def learn(docs: DataFrame, *, text_col: str = "text", fit_documents: int = FIT_D
     return fit([r.t for r in sorted(rows, key=lambda r: (r.draw, r.t))])
 
 
-def add_spans(docs: DataFrame, *, text_col: str = "text", weights: dict | None = None) -> DataFrame:
-    """``docs`` with ``spans``: all personal data of the whole text by start,
+def add_spans(docs: DataFrame, *, text_col: str = "text", weights: dict | None = None, out: str = "spans") -> DataFrame:
+    """``docs`` with ``out`` (a column of that name is replaced): all personal data of the whole text by start,
     then kind, in code points, ``base`` telling pattern matches from added
     ones.  A null or empty text has none; rows are independent, so repeated
     rows repeat their spans; an empty table gives no rows."""
     weights = learn(docs, text_col=text_col) if weights is None else weights
     rows = text_batches(docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_scan(weights), f"{fields}, spans {SPANS}")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != out)
+    return rows.mapInArrow(_scan(weights, out), f"{fields}`{out}` {SPANS}")
 
 
 def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document the counts of base spans per kind, the digest of the base
-    spans, all spans as text, and how many were added."""
+    spans, all spans as text, and how many were added.  A null or empty text has
+    none; other columns play no part, and repeated rows repeat their result."""
     rows = add_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     base = F.filter("spans", lambda s: s["base"])
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -442,13 +481,15 @@ def digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
 def redact(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in angle
     brackets (overlapping spans: one replacement, the first's kind), and
-    ``n_chars`` set anew.  Texts without spans stay as they are."""
-    fields = docs.schema
+    ``n_chars``, where there is one, set anew.  Null texts and texts without
+    spans stay as they are, and so does every other column, whatever its name;
+    an empty table gives no rows."""
+    fields, mark = docs.schema, f"spans {uuid.uuid4().hex}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, changed = batch.column("text").to_pylist(), []
-            for t, spans in zip(texts, batch.column("spans").to_pylist()):
+            for t, spans in zip(texts, batch.column(mark).to_pylist()):
                 at, parts = 0, []
                 for s in spans:
                     if s["start"] >= at:
@@ -457,7 +498,8 @@ def redact(docs: DataFrame, weights: dict | None = None) -> DataFrame:
                 changed.append("".join([*parts, t[at:]]) if spans else t)
             out = {n: batch.column(n) for n in fields.names}
             out["text"] = pa.array(changed, pa.string())
-            out["n_chars"] = pa.array([None if t is None else len(t) for t in changed], pa.int64())
+            if "n_chars" in out:
+                out["n_chars"] = pa.array([None if t is None else len(t) for t in changed], pa.int64()).cast(out["n_chars"].type)
             yield pa.RecordBatch.from_arrays([out[n] for n in fields.names], fields.names)
 
-    return add_spans(docs, weights=weights).mapInArrow(run, fields)
+    return add_spans(docs, weights=weights, out=mark).mapInArrow(run, fields)
