@@ -31,24 +31,30 @@ def stratified_parts(df: DataFrame, id_col: str, label: str, shares: Sequence[fl
     reached.  Class sizes are exact; a missing label is a class of its own.
 
     No class is sorted: rows are counted per (class, leading digits of the
-    draw), running counts settle every bucket that no cut falls into, and only
-    the few buckets that hold a cut are ranked.  The bucket table has at most
-    4,096 rows per class, so it is broadcast.
+    draw), and only the buckets that a cut falls into (one per cut) are ranked
+    to find the row that each cut begins with.  Both passes read the id and the
+    label alone.  The cut rows, a few per class, are broadcast, and every row
+    compares itself with them, so ``df`` is read once more and no branch of it
+    repeats.  Rows that repeat an id stay together.
     """
-    tagged = df.withColumn("__d", draw(id_col, seed)).withColumn("__b", F.substring("__d", 1, BUCKET_DIGITS))
-    counts = tagged.groupBy(F.col(label).alias("__l"), F.col("__b").alias("__k")).agg(F.count(F.lit(1)).alias("__c"))
+    own = df.select(F.col(label).alias("__l"), F.col(id_col).alias("__i"), draw(id_col, seed).alias("__d"))
+    own = own.withColumn("__k", F.substring("__d", 1, BUCKET_DIGITS))
+    counts = own.groupBy("__l", "__k").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy("__l").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     n = F.sum("__c").over(Window.partitionBy("__l"))
     cuts = F.array(*[F.floor(n * F.lit(float(s)) + 0.5) for s in shares])
-    reached = lambda rank: F.size(F.filter("__cuts", lambda m: m <= rank))
-    bounds = counts.withColumns({"__start": F.coalesce(F.sum("__c").over(before), F.lit(0)), "__cuts": cuts}).withColumns(
-        {"__p0": reached(F.col("__start")), "__p1": reached(F.col("__start") + F.col("__c") - 1)}).drop("__c")
-    j = tagged.join(F.broadcast(bounds), F.col(label).eqNullSafe(F.col("__l")) & (F.col("__b") == F.col("__k")))
-    inside = Window.partitionBy("__l", "__k").orderBy("__d", id_col)
-    clear = j.filter(F.col("__p0") == F.col("__p1")).withColumn(out, F.col("__p0"))
-    at_cut = j.filter(F.col("__p0") != F.col("__p1")).withColumn("__r", F.col("__start") + F.row_number().over(inside) - 1)
-    at_cut = at_cut.withColumn(out, reached(F.col("__r"))).drop("__r")
-    return clear.unionByName(at_cut).select(*df.columns, out)
+    buckets = counts.withColumns({"__start": F.coalesce(F.sum("__c").over(before), F.lit(0)), "__cuts": cuts})
+    inside = F.filter("__cuts", lambda m: (m >= F.col("__start")) & (m < F.col("__start") + F.col("__c")))
+    buckets = buckets.withColumn("__cuts", inside).where(F.size("__cuts") > 0).select(F.col("__l").alias("__bl"), F.col("__k").alias("__bk"), "__start", "__cuts")
+    ranked = own.join(F.broadcast(buckets), F.col("__l").eqNullSafe(F.col("__bl")) & (F.col("__k") == F.col("__bk")))
+    rank = F.col("__start") + F.row_number().over(Window.partitionBy("__l", "__k").orderBy("__d", "__i")) - 1
+    starts = ranked.withColumn("__r", rank).withColumn("__cut", F.explode("__cuts")).where("__r = __cut")
+    starts = starts.groupBy("__l").agg(F.collect_list(F.struct("__d", "__i")).alias("__starts"))  # one entry per cut
+    j = df.join(F.broadcast(starts), F.col(label).eqNullSafe(F.col("__l")), "left")
+    here = F.struct(draw(id_col, seed).alias("__d"), F.col(id_col).alias("__i"))
+    reached = F.size(F.filter("__starts", lambda m: m <= here))
+    # a cut at 0 or past the last row has no row of its own
+    return j.withColumn(out, F.when(F.col("__starts").isNull(), 0).otherwise(reached)).select(*df.columns, out)
 
 
 # -- T1 ----------------------------------------------------------------------

@@ -8,8 +8,12 @@ several columns share one scan and one shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,14 +183,95 @@ def box_stats(df: DataFrame, col: str, by: str | Sequence[str] | None = None, wh
 
 
 # -- A23, A24 --------------------------------------------------------------
-def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pairwise-complete Pearson for each ``(x, y)`` pair: one row, one
-    column ``{x}__{y}`` per pair; zero variance or < 2 rows → null.
+#: Groups that partitions' blocks are merged in before the driver merges those.
+MERGE_GROUPS = 64
+
+
+class PairMoments:
+    """Counts, means and centred sums of all pairs of columns over the rows that
+    have both: ``n``, ``mean[i, j]`` and ``square[i, j]`` of column i where j is
+    present, and ``cross``.  Blocks merge exactly as their rows would."""
+
+    def __init__(self, n, mean, square, cross):
+        self.n, self.mean, self.square, self.cross = n, mean, square, cross
+
+    @staticmethod
+    def empty(c: int) -> "PairMoments":
+        return PairMoments(*(np.zeros((c, c)) for _ in range(4)))
+
+    @staticmethod
+    def of(x: np.ndarray) -> "PairMoments":
+        """Of a block of rows (missing: NaN): masked matrix products."""
+        there = ~np.isnan(x)
+        count = there.sum(axis=0)
+        shift = np.where(there, x, 0.0).sum(axis=0) / np.maximum(count, 1)  # keeps the products small
+        z, m = np.where(there, x - shift, 0.0), there.astype(float)
+        n = m.T @ m
+        total, square, cross = z.T @ m, (z * z).T @ m, z.T @ z
+        some = np.maximum(n, 1)
+        return PairMoments(n, np.where(n > 0, shift[:, None] + total / some, 0.0), square - total ** 2 / some, cross - total * total.T / some)
+
+    def __add__(self, other: "PairMoments") -> "PairMoments":
+        n = self.n + other.n
+        some = np.maximum(n, 1)
+        gap = other.mean - self.mean
+        share = self.n * other.n / some
+        return PairMoments(n, self.mean + gap * other.n / some, self.square + other.square + gap ** 2 * share,
+                           self.cross + other.cross + gap * gap.T * share)
+
+    def correlations(self) -> np.ndarray:
+        """NaN where either column does not vary over the pair's rows."""
+        able = (self.n > 1) & (self.square > 0) & (self.square.T > 0)
+        return np.where(able, self.cross / np.sqrt(np.where(able, self.square * self.square.T, 1.0)), np.nan)
+
+    def to_bytes(self) -> bytes:
+        return np.stack([self.n, self.mean, self.square, self.cross]).tobytes()
+
+    @staticmethod
+    def from_bytes(raw, c: int) -> "PairMoments":
+        return PairMoments(*np.frombuffer(raw, float).reshape(4, c, c).copy())
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> PairMoments:
+    """One pass over the columns: a block for each partition, merged in groups."""
+    c = len(cols)
+
+    def blocks(batches):
+        total, part = PairMoments.empty(c), 0
+        for b in batches:
+            total += PairMoments.of(np.column_stack([col.to_numpy(zero_copy_only=False) for col in b.columns]).astype(float))
+        if (context := TaskContext.get()) is not None:
+            part = context.partitionId() % MERGE_GROUPS
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([total.to_bytes()], pa.binary())], names=["part", "block"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        total = PairMoments.empty(c)
+        for raw in t.column("block").to_pylist():
+            total += PairMoments.from_bytes(raw, c)
+        return pa.table([t.column("part").slice(0, 1), pa.array([total.to_bytes()], pa.binary())], names=["part", "block"])
+
+    rows = df.select(*[F.coalesce(F.col(x).cast("double"), F.lit(float("nan"))).alias(f"c{i}") for i, x in enumerate(cols)])
+    found = rows.mapInArrow(blocks, "part int, block binary").groupBy("part").applyInArrow(merge, "part int, block binary").collect()
+    total = PairMoments.empty(c)
+    for r in sorted(found, key=lambda r: r.part):
+        total += PairMoments.from_bytes(r.block, c)
+    return total
 
-    One pass: Spark's covariance and variance aggregates update central
-    moments, so large means with small spreads do not cancel; rows where
-    either value is missing are left out of all three.
-    """
+
+def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Long ``(x, y, corr)`` for every ordered pair over the rows that have
+    both, diagonal 1; null where a column does not vary or under two rows are
+    left.  Three matrix products a block instead of aggregates a pair."""
+    cols = list(cols)
+    r = pair_moments(df, cols).correlations()
+    value = lambda i, j: None if np.isnan(r[i, j]) else 1.0 if i == j else float(np.clip(r[i, j], -1.0, 1.0))
+    return df.sparkSession.createDataFrame([(a, b, value(i, j)) for i, a in enumerate(cols) for j, b in enumerate(cols)], "x string, y string, corr double")
+
+
+def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pairwise-complete Pearson for each ``(x, y)`` pair: one row, one column
+    ``{x}__{y}`` per pair, by covariance and variance aggregates; zero variance
+    or < 2 rows → null."""
     out = []
     for a, b in pairs:
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
@@ -197,19 +282,6 @@ def pair_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
     return df.agg(*out)
 
 
-def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Long ``(x, y, corr)`` for every ordered pair, diagonal 1 (null when constant)."""
-    cols = list(cols)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    diag = [(c, c) for c in cols]
-    one = pair_correlations(df, pairs + diag)
-    rows = [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
-    rows += [F.struct(F.lit(b).alias("x"), F.lit(a).alias("y"), F.col(f"{a}__{b}").alias("corr")) for a, b in pairs]
-    rows += [F.struct(F.lit(c).alias("x"), F.lit(c).alias("y"),
-                      F.when(F.col(f"{c}__{c}").isNotNull(), F.lit(1.0)).alias("corr")) for c in cols]
-    return one.select(F.explode(F.array(*rows)).alias("__r")).select("__r.*")
-
-
 def corr_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     one = pair_correlations(df, [(c, target) for c in cols])
     return one.select(*[F.col(f"{c}__{target}").alias(c) for c in cols]).unpivot([], list(cols), "feature", "corr")
@@ -238,3 +310,28 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 20, by: str | None =
     return j.groupBy(*keys, idx(x, "__x0", "__x1").alias("x_bin"), idx(y, "__y0", "__y1").alias("y_bin")).agg(
         F.count(F.lit(1)).alias("count")
     )
+
+
+def density_curves(df: DataFrame, cols: Sequence[str], by: str, points: int = 200, cut: float = 3.0) -> DataFrame:
+    """``(feature, by, x, density)``: Gaussian kernel densities per group at
+    ``points`` even places, from ``cut`` bandwidths below the group's least value
+    to as many above its largest; Scott's bandwidth, s n^(-1/5).
+
+    Each value is dealt to the two places beside it, so groups become counts at
+    the places (one aggregate), and only places meet places.  Rows without the
+    value or the group are left out; groups of one row or of equal values have
+    no curve."""
+    long = df.select(by, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([by], list(cols), "feature", "v").where(F.col("v").isNotNull() & F.col(by).isNotNull())
+    stats = long.groupBy("feature", by).agg(F.count("v").alias("n"), F.stddev_samp("v").alias("s"), F.min("v").alias("lo"), F.max("v").alias("hi")).where("s > 0")
+    h = F.col("s") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    stats = stats.select("feature", by, "n", h.alias("h"), (F.col("lo") - cut * h).alias("x0"), ((F.col("hi") - F.col("lo") + 2 * cut * h) / (points - 1)).alias("step"))
+    at = (F.col("v") - F.col("x0")) / F.col("step")
+    low = F.least(F.floor(at), F.lit(points - 2))
+    dealt = long.join(F.broadcast(stats), ["feature", by])  # a row per feature and group
+    dealt = dealt.select("feature", by, F.explode(F.array(F.struct(low.alias("k"), (1 - (at - low)).alias("w")), F.struct((low + 1).alias("k"), (at - low).alias("w")))).alias("p"))
+    counts = dealt.groupBy("feature", by, F.col("p.k").alias("k")).agg(F.sum("p.w").alias("w")).where("w > 0")
+    grid = stats.withColumn("__g", F.explode(F.sequence(F.lit(0), F.lit(points - 1))))
+    z = (F.col("__g") - F.col("k")) * F.col("step") / F.col("h")
+    kernel = F.sum(F.col("w") * F.exp(-z * z / 2)) / (F.first("n") * F.first("h") * (2 * math.pi) ** 0.5)
+    return (counts.join(grid, ["feature", by]).groupBy("feature", by, "__g").agg(kernel.alias("density"), F.first(F.col("x0") + F.col("__g") * F.col("step")).alias("x"))
+            .select("feature", by, "x", "density"))

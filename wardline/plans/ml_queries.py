@@ -12,6 +12,7 @@ from wardline.plans import clinical as K
 from wardline.plans import oracle as O
 from wardline.plans.catalog import master, register
 from wardline.plans.master_schema import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from wardline.session import cut_lineage
 
 T = K.TARGET
 SEED = 42
@@ -79,7 +80,8 @@ FROM sp,
 
 @register("impute_scale", q(_impute_sql()), settle=IMPUTE_NUM)
 def _impute_scale(spark, sf_dir):
-    df = split_master(spark, sf_dir).select("admission_id", "split", *IMPUTE_NUM, *IMPUTE_CAT)
+    # the part is written once; medians, moments, modes and the result read that
+    df = cut_lineage(split_master(spark, sf_dir).select("admission_id", "split", *IMPUTE_NUM, *IMPUTE_CAT))
     params = M.fit_impute_scale(df.filter(F.col("split") == "train"), IMPUTE_NUM, IMPUTE_CAT)
     return M.apply_impute_scale(df, params, IMPUTE_NUM, IMPUTE_CAT)
 

@@ -452,3 +452,24 @@ _scatter("scatter_age_charlson", "age", "charlson_comorbidity_index", "gender")
 _scatter("scatter_stay_medications", "length_of_stay_days", "num_medications", TARGET)
 _scatter("scatter_stay_charges_icu", "length_of_stay_days", "total_charges_usd", "had_icu_stay")
 _scatter("scatter_pressure_news", "systolic_bp_mean", "news2_score_mean", TARGET)
+
+
+# -- A25: the pair plot's diagonal -------------------------------------------------
+def _density_sql(cols: list[str]) -> str:
+    long = _union([f"SELECT '{c}' AS feature, {TARGET}, CAST({c} AS DOUBLE) AS v FROM master WHERE {c} IS NOT NULL AND {TARGET} IS NOT NULL" for c in cols])
+    return f"""
+WITH long AS ({long}),
+st AS (SELECT feature, {TARGET}, n, h, lo - 3 * h AS x0, (hi - lo + 6 * h) / 199 AS step FROM (
+  SELECT feature, {TARGET}, count(*) AS n, stddev_samp(v) * pow(count(*), -0.2e0) AS h, min(v) AS lo, max(v) AS hi
+  FROM long GROUP BY ALL HAVING stddev_samp(v) > 0)),
+near AS (SELECT feature, {TARGET}, least(floor((v - x0) / step), 198) AS k, (v - x0) / step AS pos FROM long JOIN st USING (feature, {TARGET})),
+w AS (SELECT feature, {TARGET}, k, sum(w) AS w FROM (
+  SELECT feature, {TARGET}, k, 1 - (pos - k) AS w FROM near UNION ALL SELECT feature, {TARGET}, k + 1, pos - k FROM near) GROUP BY ALL)
+SELECT feature, {TARGET}, x0 + g * step AS x, sum(w * exp(-pow((g - k) * step / h, 2) / 2)) / (n * h * sqrt(2 * pi())) AS density
+FROM w JOIN st USING (feature, {TARGET}), range(200) r(g) GROUP BY feature, {TARGET}, g, x0, step, n, h"""
+
+
+@register("pair_density", O.with_ctes(f"SELECT * FROM ({_density_sql(K.EDA_PAIRS)})", "master"), settle=["x", "density"])
+def _pair_density(spark, sf_dir):
+    """Density curves of the pair plot's features, by label, over all rows."""
+    return PR.density_curves(master(spark, sf_dir), K.EDA_PAIRS, TARGET)
