@@ -113,3 +113,27 @@ def test_code_switched_texts_stay(spark):
 def test_without_labels_texts_stay(spark):
     rows = [(1, "some words", None), (2, None, None), (3, "река", None), (4, "12 !!!", None)]
     assert _language_stage(spark, rows) == {1, 3}
+
+
+def test_columns_of_any_name_stay(spark, edge_docs):
+    names = ["lang_pred", "score", "_row", "spans", "_copy", "_taken", "_written", "kept", "digest", "a.b"]
+    docs = edge_docs.selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    path = cp.shared_folder(spark, "test-in")
+    docs.write.parquet(path)
+    at = through(spark, spark.read.parquet(path))
+    plain_path = cp.shared_folder(spark, "test-in")
+    edge_docs.write.parquet(plain_path)
+    plain = through(spark, spark.read.parquet(plain_path))
+    for stage in ("language", "near_duplicates", "personal_data", "mixing"):
+        rows = at[stage].collect()
+        assert at[stage].columns == docs.columns and all(r[n] == n for r in rows for n in names)
+        assert sorted(str(r.text) for r in rows) == sorted(str(r.text) for r in plain[stage].collect())
+    assert at["packing"].count() == plain["packing"].count()
+
+
+def test_rows_that_share_an_id_do_not_multiply(spark):
+    from wardline.llm.near_dup import near_duplicates
+
+    docs = [(None if i % 2 else 7, f"text {i} " + " ".join(f"w{(i * 7 + k) % 97}" for k in range(30))) for i in range(60)] * 2
+    rows = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == 120 and all(r.n_shingles > 0 for r in rows)

@@ -278,16 +278,17 @@ def written(text: str, classes: np.ndarray) -> float:
     return own / max(1, own + other)
 
 
-def predict(docs: DataFrame, field: WordField, *, text_col: str = "text", written_col: str | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (0 to 1), from the text alone,
-    and if asked ``written_col``, the share of a text's letters that are of the
+def predict(docs: DataFrame, field: WordField, *, text_col: str = "text", written_col: str | None = None,
+            lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``docs`` with ``lang_out`` and ``score_out`` (0 to 1), from the text alone
+    (columns of these names are replaced; others stay as they are), and if asked ``written_col``, the share of a text's letters that are of the
     learned languages' scripts.  Null texts and texts without a letter are ``und`` with score 0; rows are
     independent; an empty table gives no rows."""
     model = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.moves))
 
     mark = uuid.uuid4().hex
     letters = docs.sparkSession.sparkContext.broadcast(letter_classes(field.scripts)) if written_col else None
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", written_col)]
+    names = [c for c in docs.columns if c not in (lang_out, score_out, written_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = np.frombuffer(letters.value, np.uint8) if letters else None
@@ -301,15 +302,17 @@ def predict(docs: DataFrame, field: WordField, *, text_col: str = "text", writte
                 scores += y
             more = [pa.array([written(t, classes) for t in texts], pa.float64())] if written_col else []
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *more],
-                                             [*names, "lang_pred", "score", *[written_col] * len(more)])
+                                             [*names, lang_out, score_out, *[written_col] * len(more)])
 
-    kept = text_batches(docs.select(*names))
+    kept = text_batches(docs.select(*[F.col(f"`{n}`") for n in names]))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
-    return kept.mapInArrow(run, f"{fields}lang_pred string, score double" + f", `{written_col}` double" * bool(written_col))
+    return kept.mapInArrow(run, f"{fields}`{lang_out}` string, `{score_out}` double" + f", `{written_col}` double" * bool(written_col))
 
 
 def label_words(docs: DataFrame, field: WordField, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per word: ``doc_id, position, word, lang, probability``."""
+    """One row per word: ``doc_id, position, word, lang, probability``.  Null
+    texts, texts without letters and fields without languages give no rows;
+    other columns play no part, and repeated rows repeat their words."""
     model = docs.sparkSession.sparkContext.broadcast((field.labels, field.weights, field.moves))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,8 @@ choice of whole and fractional repetitions.  DataFrame expressions only."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +99,22 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 def repeat_documents(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it was taken, the last copy
     cut after the words that are taken of it.  ``mixed`` has the columns
-    ``doc_id, size, taken`` of ``mix``; columns stay those of ``docs``.  Rows
-    that repeat an id are told apart by their sizes; if these are equal too,
-    each is taken as often as the one that is taken most."""
-    m = (mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size"))
-         .agg(F.max("taken").alias("_taken")))
-    copies = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    rest = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
+    ``doc_id, size, taken`` of ``mix``; columns stay those of ``docs``, whatever
+    their names.  Rows that repeat an id are told apart by their sizes; if these
+    are equal too, each is taken as often as the one that is taken most."""
+    mark = uuid.uuid4().hex
+    of, size, taken, copy = (f"{c}-{mark}" for c in ("of", "size", "taken", "copy"))
+    col = lambda name: F.col(f"`{name}`")
+    m = (mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias(of), F.col("size").alias(size))
+         .agg(F.max("taken").alias(taken)))
+    copies = F.sequence(F.lit(1), F.ceil(col(taken) / col(size)).cast("int"))
+    rest = F.least(col(size), col(taken) - (col(copy) - 1) * col(size)).cast("int")
     cut = F.array_join(F.slice(F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"), F.lit(1),
                                rest + F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)), "")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (n_words(F.col("text")) == F.col("_size"))
-    rows = docs.join(m, same).withColumn("_copy", F.explode(copies))
-    text = F.when(rest < F.col("_size"), cut).otherwise(F.col("text"))
-    return rows.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(col(of)) & (n_words(F.col("text")) == col(size))
+    rows = docs.join(m, same).withColumn(copy, F.explode(copies))
+    text = F.when(rest < col(size), cut).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
+    return rows.select(*[col(c) for c in docs.columns])

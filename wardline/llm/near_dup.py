@@ -86,7 +86,8 @@ def _prints(shingle: int, bands: int, rows: int):
                 yield pa.record_batch([
                     some.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()),
-                    pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "hi", "lo", "bands"])
+                    pa.array(lists, pa.list_(pa.int64())), some.column("digest")],
+                    names=["doc_id", "n_shingles", "hi", "lo", "bands", "digest"])
 
     return run
 
@@ -144,12 +145,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with nothing.  Rows without an id take part; a component without any id
     has none, and its rows are kept.  Rows that repeat an id are told apart by
     their texts.  An empty table gives no rows."""
-    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     bands = n_bands(percent, band_rows, miss)
     prints = stored(rows.mapInArrow(_prints(shingle, bands, band_rows),
-                                    "doc_id long, n_shingles long, hi long, lo long, bands array<long>"), "prints")
+                                    "doc_id long, n_shingles long, hi long, lo long, bands array<long>, digest long"), "prints")
+    # a node's text is found by id and digest, so rows that share an id do not multiply
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "digest"))
     nodes = (prints.where("n_shingles > 0").groupBy("hi", "lo")
-             .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+             .agg(F.min("doc_id").alias("rep"), first.getField("digest").alias("digest"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
              .withColumn("id", F.monotonically_increasing_id()))
     nodes = stored(nodes, "nodes")
 
@@ -157,8 +160,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     several = placed.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("top")).where("low <> top").select("bucket")
     met = stored(placed.join(several, "bucket"), "buckets")
 
-    wanted = nodes.join(met.select("id").distinct(), "id").select("id", "rep", "hi", "lo")
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("id", "hi", "lo", "text")
+    wanted = nodes.join(met.select("id").distinct(), "id").select("id", "rep", "hi", "lo", F.col("digest").alias("of"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("digest") == F.col("of"))).select("id", "hi", "lo", "text")
     sets = stored(texts.mapInArrow(_sets(shingle), "id long, shingles binary").dropDuplicates(["id"]), "sets")
     able = _able(nodes.select("id", "n"), sets, percent)
     met = stored(met.join(able, "id"), "buckets")

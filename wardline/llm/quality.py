@@ -287,6 +287,6 @@ def score(docs: DataFrame, net: Network, *, text_col: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))],
                                              [*names, "score", "predicted"])
 
-    kept = text_batches(docs.select(*names))
+    kept = text_batches(docs.select(*[F.col(f"`{n}`") for n in names]))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept.schema)
     return kept.mapInArrow(run, f"{fields}score double, predicted int")
