@@ -3,8 +3,10 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from wardline.operators import arima as A
+from wardline.operators import forecast as FC
 
 
 def test_adf_ar1_stationary_random_walk_not():
@@ -116,3 +118,26 @@ def test_recursion_from_few_seed_days(spark):
     seeds = s.filter("date > '2020-04-08' and date <= '2020-04-11'")
     got = FC.recursive_forecast(spark, model, seeds, 5, FC.series_scale(s, "2020-04-10")).toPandas()
     assert len(got) == 10 and (got[got.series == "high"].forecast > 900).all() and (got[got.series == "low"].forecast < 60).all()
+
+
+def test_sparse_trend_finds_one_planted_break():
+    days = np.arange(400.0)
+    points = np.arange(15, 400, 15.0)
+    x = np.column_stack([days, *(np.maximum(0, days - p) for p in points)])
+    y = 0.1 * days - 0.3 * np.maximum(0, days - 210) + np.random.default_rng(0).normal(0, 0.5, 400)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    l1 = np.r_[0, np.full(len(points), 0.01 * y.std())]
+    beta = FC.sparse_ridge(z, y - y.mean(), l1, np.full(len(l1), 1e-4))
+    change = (beta / x.std(axis=0))[1:]
+    near = np.abs(points - 210) <= 30
+    assert change[near].sum() < -0.2 and np.abs(change[~near]).sum() < 0.25 * abs(change[near].sum())
+    # where nothing is penalised, it is the least-squares fit
+    some = np.column_stack([z[:, 0], np.sin(days / 9)])
+    want = np.linalg.lstsq(some, y - y.mean(), rcond=None)[0]
+    assert FC.sparse_ridge(some, y - y.mean(), np.zeros(2), np.zeros(2)) == pytest.approx(want, rel=1e-4)
+
+
+def test_trend_band_widens():
+    away = FC.trend_draws(np.array([1.0, 30, 90, 365]), 0.05, 0.1, 400, 1)
+    assert away.shape == (400, 4) and (np.diff(away.std(axis=0)) > 0).all()
+    assert not FC.trend_draws(np.array([1.0, 30]), 0.05, 0.0, 10, 1).any()

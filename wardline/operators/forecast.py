@@ -11,6 +11,7 @@ the model's tree table (bounded by trees × nodes) shipped to the tasks.
 from __future__ import annotations
 
 import datetime as dt
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -97,13 +98,41 @@ def recursive_forecast(spark, model, seeds: DataFrame, horizon: int, scale: Data
 
 
 # -- X8 ----------------------------------------------------------------------
+def sparse_ridge(z: np.ndarray, y: np.ndarray, l1: np.ndarray, l2: np.ndarray, sweeps: int = 1000, tol: float = 1e-7) -> np.ndarray:
+    """Coefficients of least (mean squared error) / 2 + l1 |b| + l2 b^2 / 2, by
+    coordinate descent on the Gram matrix."""
+    gram, goal, beta = z.T @ z / len(y), z.T @ y / len(y), np.zeros(z.shape[1])
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(len(beta)):
+            if gram[j, j] + l2[j] == 0:
+                continue
+            pull = goal[j] - gram[j] @ beta + gram[j, j] * beta[j]
+            new = np.sign(pull) * max(0.0, abs(pull) - l1[j]) / (gram[j, j] + l2[j])
+            most, beta[j] = max(most, abs(new - beta[j])), new
+        if most < tol * (1 + np.abs(beta).max()):
+            break
+    return beta
+
+
+def trend_draws(ahead: np.ndarray, rate: float, size: float, draws: int, seed: int) -> np.ndarray:
+    """Simulated departures from the trend, ``ahead`` days after training: a
+    day has a change with chance ``rate``, of Laplace size."""
+    rng, days = np.random.default_rng(seed), int(ahead.max())
+    change = (rng.random((draws, days)) < rate) * rng.laplace(0.0, size, (draws, days))
+    return np.cumsum(np.cumsum(change, axis=1), axis=1)[:, ahead.astype(int) - 1]
+
+
 def fourier_forecast(s: DataFrame, train_end: str, test_start: str, n_changepoints: int = 25,
-                     reg: float = 0.05, interval: float = 0.8) -> DataFrame:
+                     reg: float = 0.05, interval: float = 0.8, change_penalty: float = 0.01, draws: int = 400) -> DataFrame:
     """Additive trend + yearly + weekly seasonality, fitted to every series on
-    its own by ridge regression on standardised terms; the band is the
-    training residuals' central ``interval``.  ``(series, date, value,
-    forecast, lower, upper)`` per test day; a series without training days has
-    nulls.  A group holds one series, at most a row per calendar day."""
+    its own on standardised terms: trend changes have an L1 penalty
+    (``change_penalty`` deviations of the series), so that few remain, seasonal
+    terms a ridge.  The band is the central ``interval`` of training residuals
+    plus ``draws`` simulated future trend changes, as frequent and as large on
+    average as the fitted ones.  ``(series, date, value, forecast, lower,
+    upper)`` per test day; a series without training days has nulls.  A group
+    holds one series, at most a row per calendar day."""
     lo_q, hi_q = (1 - interval) / 2, 1 - (1 - interval) / 2
     cut = dt.date.fromisoformat(train_end)
 
@@ -119,7 +148,7 @@ def fourier_forecast(s: DataFrame, train_end: str, test_start: str, n_changepoin
         pdf = pdf.sort_values("date")
         train, test = pdf[pdf["date"] <= cut], pdf[pdf["split"] == "test"]
         out = test[["series", "date", "value"]].assign(forecast=np.nan, lower=np.nan, upper=np.nan)
-        if len(train):
+        if len(train) and len(test):
             first = train["date"].iloc[0]
             days = lambda d: np.array([(x - first).days for x in d], dtype=float)
             span = days(train["date"])[-1]
@@ -127,11 +156,19 @@ def fourier_forecast(s: DataFrame, train_end: str, test_start: str, n_changepoin
             mean, std = x.mean(axis=0), x.std(axis=0)
             std[std == 0] = 1.0
             z = (x - mean) / std
-            beta = np.linalg.solve(z.T @ z / len(y) + reg * np.eye(z.shape[1]), z.T @ (y - y.mean()) / len(y))
-            lo, hi = np.quantile(y - y.mean() - z @ beta, [lo_q, hi_q])
-            if len(test):
-                out["forecast"] = y.mean() + (terms(days(test["date"]), span) - mean) / std @ beta
-                out["lower"], out["upper"] = out["forecast"] + lo, out["forecast"] + hi
+            l1, l2 = np.zeros(z.shape[1]), np.full(z.shape[1], reg)
+            l1[1:n_changepoints + 1] = change_penalty * y.std()
+            l2[:n_changepoints + 1] = 1e-4
+            beta = sparse_ridge(z, y - y.mean(), l1, l2)
+            left = np.sort(y - y.mean() - z @ beta)
+            out["forecast"] = y.mean() + (terms(days(test["date"]), span) - mean) / std @ beta
+            changes = (beta / std)[1:n_changepoints + 1]
+            rate = min(1.0, n_changepoints / max(1.0, 0.8 * span))
+            seed = zlib.crc32(str(pdf["series"].iloc[0]).encode())
+            away = trend_draws(days(test["date"]) - span, rate, float(np.abs(changes).mean()) if n_changepoints else 0.0, draws, seed)
+            noise = np.random.default_rng(seed).permutation(np.quantile(left, np.linspace(0, 1, draws)))
+            lo, hi = np.quantile(away + noise[:, None], [lo_q, hi_q], axis=0)
+            out["lower"], out["upper"] = out["forecast"] + lo, out["forecast"] + hi
         return out
 
     return S.time_split(s, train_end, test_start).select("series", "date", "value", "split").groupBy("series").applyInPandas(
