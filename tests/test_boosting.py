@@ -134,3 +134,14 @@ def test_final_fit_in_a_task_and_by_aggregates(spark):
     one, many = S.fit_all(df, "y", "w", p, s.bins), S.fit_all(df, "y", "w", p, s.bins, task_rows=10)
     assert np.allclose(one.margin(x), many.margin(x))
     assert df.filter(F.col("y").isNull()).count() == 0
+
+
+def test_aggregate_fit_keeps_little(spark):
+    x, y, w = data(200, 9)
+    df = spark.createDataFrame([(float(a), [float(v) for v in r]) for r, a in zip(x, y)], "y double, a array<double>")
+    df = df.select("y", array_to_vector("a").alias("features")).repartition(2)
+    bins = B.quantile_bins(df, "features")
+    assert {len(r.codes) for r in B.binned(df, bins, "features", "y", None).select("codes").collect()} == {x.shape[1]}  # a byte a feature
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    assert len(B.fit_spark(df, "features", "y", None, B.Params(4, 2), bins).trees) == 4
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held  # no round's rows stay behind
