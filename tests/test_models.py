@@ -50,3 +50,12 @@ def test_sample_grid_distinct_and_reproducible():
     b = MD.sample_grid(MD.GRID_BOOSTED, 50, 42)
     assert a == b and len({tuple(sorted(d.items())) for d in a}) == 50
     assert all(set(d) == set(MD.GRID_BOOSTED) for d in a)
+
+
+def test_training_matrix_is_stored_and_levels_come_from_one_indexer(spark):
+    df = spark.createDataFrame([(i, float(i % 7), "ab"[i % 2], "xyz"[i % 3]) for i in range(40)], "id long, n double, c string, d string")
+    prep = MD.fit_features(df, ["n"], ["c", "d"])
+    assert sum(type(s).__name__ == "StringIndexerModel" for s in prep.encoder.stages) == 1
+    stored = MD.design(df, prep, ["id"])
+    assert stored.inputFiles() and stored.count() == 40  # columns apart, in the shared folder
+    assert prep.feature_names(df) == ["n", "c__oh_a", "c__oh_b", "d__oh_x", "d__oh_y", "d__oh_z"]
