@@ -167,3 +167,12 @@ def test_faster_patterns_find_the_same_matches():
         text = "".join(rng.choices(["a", "b.c", "@", "%", "1", "23", ".", "-", "_", " ", "x@y.z", "1.2.3.4", "+"], k=rng.randint(1, 14)))
         for kind, pattern in pii._COMPILED.items():
             assert [m.span() for m in pii._matches(kind, text)] == [m.span() for m in pattern.finditer(text)], text
+
+
+def test_draws_let_go_of_earlier_stages():
+    from wardline.llm import common
+    from wardline.llm.pii import _draws
+
+    common.kept_in_worker("model of an earlier stage", object)
+    list(_draws(1)(iter([])))
+    assert not common._kept

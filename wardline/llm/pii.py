@@ -419,6 +419,7 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,base:boolean>>"
 def _draws(most: int):
     """Per task and kind (none: 0) the smallest digests of texts that hold it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_kept()
         least: list[set[int]] = [set() for _ in range(len(KINDS) + 1)]
 
         def trim():
