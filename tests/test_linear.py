@@ -1,0 +1,41 @@
+"""All folds and points of a logistic search against Spark's single fits."""
+
+import numpy as np
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.linalg import Vectors
+
+from wardline.operators import linear as L
+from wardline.operators import models as MD
+
+
+def rows(spark, n=600):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(n, 4))
+    y = (rng.random(n) < 1 / (1 + np.exp(-x[:, 0] + 0.5 * x[:, 1]))).astype(int)
+    data = [(i, int(t), 1.0 + i % 2, i % 3, Vectors.dense(v.tolist())) for i, (t, v) in enumerate(zip(y, x))]
+    data.append((n, None, 1.0, 0, Vectors.dense([9.0] * 4)))  # no label: not learned from
+    return spark.createDataFrame(data, ["id", "y", "w", "fold", "features"]).repartition(3).localCheckpoint()
+
+
+def test_folds_equal_sparks_fits(spark):
+    df = rows(spark)
+    points = [(0.02, 0.0), (0.02, 1.0), (1e-5, 1.0)]
+    found = L.fit_folds(df, "features", "y", "w", "fold", points, 3)
+    known = df.where("y is not null")
+    for i, (lam, alpha) in enumerate(points):
+        est = MD.logistic("y", "w", 1.0, max_iter=500, tol=1e-10).setRegParam(lam).setElasticNetParam(alpha)
+        for k in range(3):
+            m = est.fit(known.where(known.fold != k))
+            assert np.allclose(found[i, k], [*m.coefficients, m.intercept], atol=1e-4)
+
+
+def test_search_scores_held_out_rows(spark):
+    df = rows(spark).where("y is not null")
+    maps = [MD.spark_params("logistic", {"C": c, "penalty": p, "solver": "saga"}, 600.0) for c, p in ((0.001, "l1"), (1, "l2"), (1, "l2"), (0.01, "l1"))]
+    est = MD.logistic("y", "w", 600.0)
+    model, metrics = MD.random_search(est, maps, df, "y", "fold", 3)
+    assert metrics[1] == metrics[2] > 0.65
+    ev = BinaryClassificationEvaluator(labelCol="y", metricName="areaUnderROC", numBins=0)
+    plain = np.mean([ev.evaluate(est.copy({est.regParam: maps[1]["regParam"], est.tol: 1e-9}).fit(df.where(df.fold != k)).transform(df.where(df.fold == k))) for k in range(3)])
+    assert abs(metrics[1] - plain) < 1e-3
+    assert len(model.coefficients) == 4

@@ -1,0 +1,165 @@
+"""Many logistic regressions at once (M13): points of a grid x folds.
+
+All models minimise Spark's objective, ``mean_w(loss) + lambda * (alpha * |b|_1 +
+(1 - alpha) / 2 * |b|^2)`` without penalty on the intercept: one pass over the
+rows sums loss and gradient of every model that still moves (a model's sums are
+added up in a task of their own), and the penalised quadratic is minimised on the
+driver, where it is as large as the features.  Its curvature is that at zero,
+which no other exceeds and which a fold's models share; models that still move
+in the passes ``REFRESHED`` get their own there (Newton steps).  A step that makes
+the objective worse is halved."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import RDD, StorageLevel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Relative change of the objective at which a model rests, and passes at most.
+TOLERANCE, PASSES = 1e-10, 100
+REFRESHED = (6, 9, 12, 16, 20, 30, 40, 60, 80)
+_STEP = 2048
+
+
+def _blocks(df: DataFrame, vector_col: str, label: str, weight: str | None, fold_col: str) -> RDD:
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), w.alias("w"), F.col(fold_col).cast("int").alias("fold"), vector_to_array(vector_col).alias("x"))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False)
+                yield pa.record_batch([pa.array([v.tobytes()], pa.binary()) for v in (*(b.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "fold")), x)], names=["y", "w", "fold", "x"])
+
+    def arrays(r):
+        y, w, fold = (np.frombuffer(v, d) for v, d in ((r.y, "<f8"), (r.w, "<f8"), (r.fold, "<i4")))
+        return y, w, fold, np.column_stack([np.frombuffer(r.x, "<f8").reshape(len(y), -1), np.ones(len(y))])
+
+    return rows.mapInArrow(run, "y binary, w binary, fold binary, x binary").rdd.map(arrays)
+
+
+def _sums(blocks: RDD, betas: np.ndarray, held: np.ndarray, moving: np.ndarray, curved: bool) -> dict[int, list]:
+    """Weight, loss, gradient and, if ``curved``, Hessian of the moving models;
+    ``held``: the fold each model leaves out."""
+    def run(part):
+        p = betas.shape[1]
+        total = {m: [0.0, 0.0, np.zeros(p), np.zeros((p, p)) if curved else 0.0] for m in moving.tolist()}
+        for y, w, fold, x in part:
+            for a in range(0, len(y), _STEP):
+                ys, ws, fs, xs = y[a:a + _STEP, None], w[a:a + _STEP], fold[a:a + _STEP], x[a:a + _STEP]
+                z = xs @ betas[moving].T
+                v = np.where(fs[:, None] == held[moving], 0.0, ws[:, None])
+                q = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                weight, loss, gradient = v.sum(axis=0), (v * (np.logaddexp(0, z) - ys * z)).sum(axis=0), (v * (q - ys)).T @ xs
+                curve = v * q * (1 - q)
+                for i, s in enumerate(total.values()):
+                    s[0] += weight[i]
+                    s[1] += loss[i]
+                    s[2] += gradient[i]
+                    if curved:
+                        s[3] += xs.T @ (xs * curve[:, i:i + 1])
+        return list(total.items())
+
+    count = min(len(moving), 32)
+    return dict(blocks.mapPartitions(run).reduceByKey(lambda s, t: [a + b for a, b in zip(s, t)], count).collect())
+
+
+def _curves(blocks: RDD, p: int, folds: int) -> list[np.ndarray]:
+    """The Hessian sums at zero without each fold."""
+    def run(part):
+        total = {}
+        for _, w, fold, x in part:
+            for k in np.unique(fold).tolist():
+                xs = x[fold == k]
+                total[k] = total.get(k, 0.0) + xs.T @ (xs * (w[fold == k] / 4)[:, None])
+        return list(total.items())
+
+    found = dict(blocks.mapPartitions(run).reduceByKey(lambda a, b: a + b, folds).collect())
+    return [sum((h for j, h in sorted(found.items()) if j != k), np.zeros((p, p))) for k in range(folds)]
+
+
+def newton_point(beta: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, l1: float, l2: float, sweeps: int = 60) -> np.ndarray:
+    """The minimum of the quadratic at ``beta`` with its penalty."""
+    p = len(beta)
+    free = np.arange(p) == p - 1
+    h = hessian + np.diag(np.where(free, 0.0, l2) + 1e-12 * max(1e-12, np.trace(hessian)))
+    g = gradient + np.where(free, 0.0, l2) * beta
+    if not l1:
+        return beta - np.linalg.lstsq(h, g, rcond=1e-13)[0]
+    new, slope, curve = beta.copy(), g.copy(), np.maximum(np.diag(h), 1e-300)
+    for _ in range(sweeps):
+        most = 0.0
+        for j in range(p):
+            to = new[j] - slope[j] / curve[j]
+            if not free[j]:
+                to = np.sign(to) * max(abs(to) - l1 / curve[j], 0.0)
+            move = to - new[j]
+            if move:
+                new[j] = to
+                slope += h[:, j] * move
+                most = max(most, move * move * curve[j])
+        if most < 1e-14:
+            break
+    return new
+
+
+def fit_folds(df: DataFrame, vector_col: str, label: str, weight: str | None, fold_col: str, points: Sequence[tuple[float, float]], folds: int) -> np.ndarray:
+    """Coefficients (points x folds x features, the intercept last) for every
+    (lambda, alpha) without each fold."""
+    blocks = _blocks(df, vector_col, label, weight, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        p = blocks.map(lambda b: b[3].shape[1]).first()
+        held = np.tile(np.arange(folds), len(points))
+        l1, l2 = (np.repeat([x for x in v], folds) for v in ([lam * a for lam, a in points], [lam * (1 - a) for lam, a in points]))
+        betas = np.zeros((len(held), p))
+        curves = _curves(blocks, p, folds)
+        curves = [curves[k] for k in held]
+        kept, objective, moving = betas.copy(), np.full(len(held), np.inf), np.arange(len(held))
+        for turn in range(PASSES):
+            found, rest = _sums(blocks, betas, held, moving, turn in REFRESHED), []
+            for m in moving.tolist():
+                n, loss, gradient, hessian = found[m]
+                b = betas[m]
+                now = loss / max(n, 1e-300) + l1[m] * np.abs(b[:-1]).sum() + l2[m] / 2 * (b[:-1] ** 2).sum()
+                if now > objective[m] + TOLERANCE * abs(objective[m]):
+                    betas[m] = (kept[m] + b) / 2
+                    rest.append(m)
+                    continue
+                done = objective[m] - now <= TOLERANCE * max(abs(now), 1e-12)
+                objective[m], kept[m] = now, b.copy()
+                if turn in REFRESHED:
+                    curves[m] = hessian
+                if not done:
+                    betas[m] = newton_point(b, gradient / n, curves[m] / n, l1[m], l2[m])
+                    rest.append(m)
+            moving = np.array(rest, int)
+            if not rest:
+                break
+        return kept.reshape(len(points), folds, p)
+    finally:
+        blocks.unpersist()
+
+
+def held_out_margins(df: DataFrame, vector_col: str, label: str, fold_col: str, betas: np.ndarray) -> DataFrame:
+    """``label, fold, m0 ... `` per row: each point's margin from the model that
+    did not see the row's fold."""
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("label"), F.col(fold_col).cast("int").alias("fold"), vector_to_array(vector_col).alias("x"))
+    shared = df.sparkSession.sparkContext.broadcast(betas)
+    names = [f"m{i}" for i in range(len(betas))]
+
+    def run(batches):
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, betas.shape[2] - 1))
+            fold = b.column("fold").to_numpy()
+            out = np.empty((len(betas), b.num_rows))
+            for k in np.unique(fold):
+                at = fold == k
+                out[:, at] = shared.value[:, k, :-1] @ x[at].T + shared.value[:, k, -1:]
+            yield pa.RecordBatch.from_arrays([b.column("label"), b.column("fold"), *(pa.array(v) for v in out)], ["label", "fold", *names])
+
+    return rows.mapInArrow(run, "label double, fold int, " + ", ".join(f"{n} double" for n in names))
