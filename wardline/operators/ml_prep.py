@@ -3,9 +3,9 @@
 Splits and folds rank the rows of every class by a seeded digest of the row
 id, so they are deterministic, hold exact shares of each class, and can be
 written as ``row_number()`` in any SQL engine.  Every fitted statistic (median,
-mode, mean, std) is one aggregate over the training rows; the fitted values
-are one-row DataFrames joined back as a broadcast (their size is the number of
-feature columns, not of rows).
+mode, mean, std) is an aggregate over the training rows; the fitted values
+are one-row DataFrames (their size is the number of feature columns, not of
+rows), read back before rows are filled and scaled.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.operators.quantiles import DEFAULT_ACCURACY, quantile_table
+from wardline.operators.quantiles import column_quantiles
 
+#: Columns whose moments share one aggregate: code for many more is too long
+#: for the JVM to compile.
+MOMENT_COLUMNS = 8
 BUCKET_DIGITS = 3  # leading hex digits of the draw: 4,096 buckets per class
 
 
@@ -85,9 +88,9 @@ def feature_columns(df: DataFrame, drop: Sequence[str]) -> tuple[list[str], list
 
 
 # -- M1, M2, M6 ----------------------------------------------------------------
-def medians(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """``(feature, median)`` — exact, linear interpolation, nulls ignored."""
-    return quantile_table(df, cols, [0.5], names=["median"], accuracy=accuracy)
+    return column_quantiles(df, cols, [0.5], ["median"])
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -112,11 +115,6 @@ def feature_defaults(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> D
     return m.unionByName(c)
 
 
-def _wide(long: DataFrame, key: str, value: str, names: Sequence[str]) -> DataFrame:
-    """One-row wide table from a ``(feature, value)`` long table."""
-    return long.agg(*[F.max(F.when(F.col(key) == n, F.col(value))).alias(n) for n in names])
-
-
 # -- M1-M3 -------------------------------------------------------------------
 def fit_impute_scale(train: DataFrame, num: Sequence[str], cat: Sequence[str] = ()) -> DataFrame:
     """Fitted parameters as one row: ``{c}__med``, ``{c}__mean``, ``{c}__std``
@@ -125,30 +123,34 @@ def fit_impute_scale(train: DataFrame, num: Sequence[str], cat: Sequence[str] =
     Median impute, then standardise with the population std of the imputed
     training column (a zero std scales by 1), as the reference's pipeline.
     """
-    med = _wide(medians(train, num), "feature", "median", num)
-    med = med.select(*[F.col(c).alias(f"{c}__med") for c in num])
-    filled = train.select(*num).crossJoin(F.broadcast(med)).select(
-        *[F.coalesce(F.col(c).cast("double"), F.col(f"{c}__med")).alias(c) for c in num]
-    )
-    mom = filled.agg(*[F.avg(c).alias(f"{c}__mean") for c in num], *[F.stddev_pop(c).alias(f"{c}__std") for c in num])
-    params = med.crossJoin(mom)
+    fitted: dict[str, float | str | None] = {}
+    med = {r["feature"]: r["median"] for r in medians(train, num).collect()}
+    for k in range(0, len(num), MOMENT_COLUMNS):
+        some = num[k:k + MOMENT_COLUMNS]
+        filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(med.get(c)).cast("double")) for c in some}
+        row = train.agg(*[F.avg(v).alias(f"{c}__mean") for c, v in filled.items()],
+                        *[F.stddev_pop(v).alias(f"{c}__std") for c, v in filled.items()]).first()
+        fitted |= {f"{c}__med": med.get(c) for c in some} | row.asDict()
     if cat:
-        mo = _wide(modes(train, cat), "feature", "mode", cat).select(*[F.col(c).alias(f"{c}__mode") for c in cat])
-        params = params.crossJoin(mo)
-    return params
+        mode = {r["feature"]: r["mode"] for r in modes(train, cat).collect()}
+        fitted |= {f"{c}__mode": mode.get(c) for c in cat}
+    names = [f"{c}__{s}" for s in ("med", "mean", "std") for c in num] + [f"{c}__mode" for c in cat]
+    schema = ", ".join(f"`{n}` {'string' if n.endswith('__mode') else 'double'}" for n in names)
+    return train.sparkSession.createDataFrame([tuple(fitted[n] for n in names)], schema)
 
 
 def apply_impute_scale(df: DataFrame, params: DataFrame, num: Sequence[str], cat: Sequence[str] = ()) -> DataFrame:
-    """Applies :func:`fit_impute_scale` output (a one-row broadcast)."""
-    j = df.crossJoin(F.broadcast(params))
+    """Applies :func:`fit_impute_scale` output: one row, whose values stand in
+    the expressions, so that no row of ``df`` is widened by them."""
+    p = params.first()
+    number = lambda name: F.lit(p[name]).cast("double")
     out = {}
     for c in num:
-        std = F.col(f"{c}__std")
-        scale = F.when((std == 0) | std.isNull(), F.lit(1.0)).otherwise(std)
-        out[c] = (F.coalesce(F.col(c).cast("double"), F.col(f"{c}__med")) - F.col(f"{c}__mean")) / scale
+        scale = F.lit(1.0) if p[f"{c}__std"] in (None, 0.0) else number(f"{c}__std")
+        out[c] = (F.coalesce(F.col(c).cast("double"), number(f"{c}__med")) - number(f"{c}__mean")) / scale
     for c in cat:
-        out[c] = F.coalesce(F.col(c), F.col(f"{c}__mode"))
-    return j.withColumns(out).drop(*params.columns)
+        out[c] = F.coalesce(F.col(c), F.lit(p[f"{c}__mode"]).cast("string"))
+    return df.withColumns(out)
 
 
 # -- M7, M8 ------------------------------------------------------------------

@@ -14,16 +14,27 @@ Instead:
    two order statistics around ``(n-1)·q`` are interpolated.
 
 Ties cost nothing: a value repeated a billion times is one band row.
+
+Many columns without groups (``column_quantiles``) need neither a row per value
+nor a sketch per column: doubles map to 64-bit integers of the same order, and
+passes over the columns as they are count them by 16 leading bits at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 10_000
+DIGIT = 16  # bits that a pass of ``column_quantiles`` tells apart
+_LOW = np.int64((1 << 63) - 1)
+_BINS = "slot int, bin long, n long, lo long, hi long"
+
+
 def _ranked_pick(base: DataFrame, bands: DataFrame, by: list[str], few: bool) -> DataFrame:
     """One pass over ``base`` ⋈ ``bands``: rows below / inside / above each
     band become (class, value, multiplicity) rows — two summary rows plus the
@@ -133,3 +144,108 @@ def quantile_table(
         F.max(F.when(F.col("q") == float(q), F.col("quantile"))).alias(n) for q, n in zip(qs, names)
     ])
     return out
+
+
+# -- many columns, no groups ----------------------------------------------------
+def _keys(values: np.ndarray) -> np.ndarray:
+    """Integers in the order of the doubles (-0 as 0, NaN last)."""
+    x = values + 0.0
+    x[np.isnan(x)] = np.nan
+    bits = x.view(np.int64)
+    return bits ^ ((bits >> 63) & _LOW)
+
+
+def _value(key: int) -> float:
+    k = np.array([key], np.int64)
+    return float((k ^ ((k >> 63) & _LOW)).view(np.float64)[0])
+
+
+def _bins_of(parts: list[tuple]) -> tuple:
+    """``(bin, n, lowest key, highest key)`` of the parts, once per bin."""
+    b, n, lo, hi = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    at = np.flatnonzero(np.concatenate(([True], b[1:] != b[:-1])))
+    return b[at], np.add.reduceat(n[order], at), np.minimum.reduceat(lo[order], at), np.maximum.reduceat(hi[order], at)
+
+
+def _count_bins(shift: int, wanted: list[tuple[int, list[int] | None]]):
+    """Counts of ``key >> shift`` per column; ``wanted`` has the slot of each
+    column and the leading bits that its keys must have (None: any)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = [[] for _ in wanted]
+        for batch in batches:
+            for parts, (_, prefixes), column in zip(held, wanted, batch.columns):
+                keys = _keys(column.drop_null().to_numpy(zero_copy_only=False))
+                if prefixes is not None:
+                    keys = keys[np.isin(keys >> np.int64(shift + DIGIT), prefixes)]
+                if not len(keys):
+                    continue
+                keys = np.sort(keys)
+                bins = keys >> np.int64(shift)
+                at = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+                end = np.append(at[1:], len(keys))
+                parts.append((bins[at], end - at, keys[at], keys[end - 1]))
+                if len(parts) == 32:
+                    parts[:] = [_bins_of(parts)]
+        for parts, (slot, _) in zip(held, wanted):
+            if parts:
+                b, *rest = _bins_of(parts)
+                yield pa.record_batch([pa.array(np.full(len(b), slot, np.int32)), pa.array(b), *map(pa.array, rest)],
+                                      names=["slot", "bin", "n", "lo", "hi"])
+
+    return run
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """``(feature, <name per q>)`` of exact quantiles; nulls are ignored, columns
+    without values absent.
+
+    Each pass counts the keys of every column by ``DIGIT`` more bits, in the
+    bins that hold a wanted rank; a task sends a row per bin that it meets.  A
+    rank is found when it is the lowest or highest key of its bin, so small
+    integers need one pass and no column more than four.  Runs at once and reads
+    ``df`` in every pass: hand it a stored table."""
+    cols, qs = list(cols), [float(q) for q in qs]
+    total: dict[int, int] = {}
+    found: dict[tuple[int, int], float] = {}
+    open_: list[tuple[int, int, int, int]] = []  # slot, leading bits, rank among these, rank in the column
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        first = shift == 64 - DIGIT
+        slots = list(range(len(cols))) if first else sorted({o[0] for o in open_})
+        if not slots:
+            break
+        wanted = [(i, None if first else sorted({o[1] for o in open_ if o[0] == i})) for i in slots]
+        read = df.select(*[F.col(cols[i]).cast("double").alias(f"c{i}") for i in slots])
+        bins = read.mapInArrow(_count_bins(shift, wanted), _BINS).groupBy("slot", "bin").agg(
+            F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        bins = bins.withColumn("prefix", F.lit(0).cast("long") if first else F.shiftright("bin", DIGIT))
+        group = Window.partitionBy("slot", "prefix")  # at most 2^DIGIT bins
+        bins = bins.withColumns({"end": F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)),
+                                 "total": F.sum("n").over(group)})
+        if first:
+            below = [F.floor((F.col("total") - 1) * F.lit(q)) for q in qs]
+            ranks = F.array_distinct(F.array(*below, *[F.least(r + 1, F.col("total") - 1) for r in below]))
+            bins = bins.withColumn("rank", F.explode(ranks)).withColumn("whole", F.col("rank"))
+        else:
+            spark = df.sparkSession
+            targets = spark.createDataFrame(open_, "slot int, prefix long, rank long, whole long")
+            bins = bins.join(F.broadcast(targets), ["slot", "prefix"])
+        open_ = []
+        for r in bins.where((F.col("end") - F.col("n") <= F.col("rank")) & (F.col("rank") < F.col("end"))).collect():
+            total.setdefault(r.slot, r.total)
+            rank = r.rank - (r.end - r.n)
+            if rank in (0, r.n - 1) or r.lo == r.hi:
+                found[r.slot, r.whole] = _value(r.lo if rank == 0 else r.hi)
+            else:
+                open_.append((r.slot, r.bin, rank, r.whole))
+    rows = []
+    for i, n in sorted(total.items()):
+        row = [cols[i]]
+        for q in qs:
+            h = (n - 1) * q
+            r0 = int(h)
+            v0, v1 = found[i, r0], found[i, min(r0 + 1, n - 1)]
+            row.append(v0 + (h - r0) * (v1 - v0))
+        rows.append(tuple(row))
+    return df.sparkSession.createDataFrame(rows, "feature string, " + ", ".join(f"`{n}` double" for n in names))
