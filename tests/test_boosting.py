@@ -145,3 +145,43 @@ def test_aggregate_fit_keeps_little(spark):
     held = spark.sparkContext._jsc.getPersistentRDDs().size()
     assert len(B.fit_spark(df, "features", "y", None, B.Params(4, 2), bins).trees) == 4
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held  # no round's rows stay behind
+
+
+def test_joint_codes_hold_every_features_sums():
+    x, y, w = data(500, 4)
+    bins = B.Bins([np.unique(c)[:-1] for c in x.T])
+    joint = B.Joint(bins, 1 << 12)
+    assert len(joint.sizes) < len(bins.cuts)
+    codes = joint.codes((bins.codes(x) - bins.first[:-1]).T)
+    slot, total = np.arange(500) % 3, joint.empty(3)
+    joint.add(total, codes, np.arange(500), slot, y - w, w)
+    want = B.Entries(bins.codes(x), bins).sums([y - w, w, np.ones(500)], slot, 3)
+    assert np.allclose(joint.spread(total, 3), want)
+    tree = B.fit_rows(bins.codes(x), bins, y, w, B.Params(1, 4))[0]
+    assert (joint.leaves(tree, codes) == tree.of_codes(bins.codes(x))).all()
+
+
+def test_of_two_siblings_only_the_smaller_is_counted():
+    x, y, w = data(600, 6)
+    bins = B.Bins([np.unique(c)[:-1] for c in x.T])
+    p, codes, asked = B.Params(1, 4, min_child_weight=0.0), bins.codes(x), []
+
+    def histograms(frontier, tree):
+        asked.append(len(frontier))
+        slot = np.full(len(tree.left), len(frontier))
+        slot[frontier] = np.arange(len(frontier))
+        return B.Entries(codes, bins).sums([*B.gradients(y, w, np.zeros(600), p.loss), np.ones(600)], slot[tree.of_codes(codes)], len(frontier))
+
+    got = B.grow(histograms, bins, p, np.random.default_rng(p.seed), siblings=True)
+    assert asked[1] == 1 and asked[2] <= 2
+    assert np.allclose(got.value[got.of_codes(codes)], B.BoostedTrees(B.fit_rows(codes, bins, y, w, p)).margin(x))
+
+
+def test_fits_of_held_columns_are_those_of_rows():
+    x, y, w = data(400, 8)
+    bins = B.Bins([np.unique(c)[:-1] for c in x.T])
+    p, w[::5] = B.Params(4, 3, columns=0.75, gamma=0.1), 0.0
+    joint, a, b = B.Joint(bins), [], []
+    B.fit_rows(bins.codes(x), bins, y, w, p, lambda r, m: a.append(m.copy()))
+    B.fit_columns(joint.codes((bins.codes(x) - bins.first[:-1]).T), joint, y, w, p, lambda r, m: b.append(m.copy()))
+    assert np.allclose(a, b)  # rows of weight 0 are scored too
