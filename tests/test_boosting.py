@@ -147,16 +147,18 @@ def test_aggregate_fit_keeps_little(spark):
     assert spark.sparkContext._jsc.getPersistentRDDs().size() == held  # no round's rows stay behind
 
 
-def test_joint_codes_hold_every_features_sums():
+def test_joint_codes_hold_every_features_sums(monkeypatch):
     x, y, w = data(500, 4)
     bins = B.Bins([np.unique(c)[:-1] for c in x.T])
     joint = B.Joint(bins, 1 << 12)
     assert len(joint.sizes) < len(bins.cuts)
     codes = joint.codes((bins.codes(x) - bins.first[:-1]).T)
-    slot, total = np.arange(500) % 3, joint.empty(3)
-    joint.add(total, codes, np.arange(500), slot, y - w, w)
+    slot = np.arange(500) % 3
     want = B.Entries(bins.codes(x), bins).sums([y - w, w, np.ones(500)], slot, 3)
-    assert np.allclose(joint.spread(total, 3), want)
+    for fine in (0, B.FINE_ROWS):  # by whole codes, and by their parts
+        monkeypatch.setattr(B, "FINE_ROWS", fine)
+        halves = [(codes, at, slot[at], (y - w)[at], w[at]) for at in (np.arange(200), np.arange(200, 500))]
+        assert np.allclose(joint.sums(3, iter(halves)), want)
     tree = B.fit_rows(bins.codes(x), bins, y, w, B.Params(1, 4))[0]
     assert (joint.leaves(tree, codes) == tree.of_codes(bins.codes(x))).all()
 
