@@ -66,3 +66,12 @@ def test_residual_trees_are_those_of_spark(spark):
     model = GBTClassifier(labelCol="y", weightCol="w", maxIter=6, maxDepth=3, stepSize=0.3, lossType="logistic").fit(df)
     theirs = {r.id: r.p for r in model.transform(df).select("id", vector_to_array("probability")[1].alias("p")).collect()}
     assert max(abs(ours[i] - theirs[i]) for i in ours) < 1e-6
+
+
+def test_rows_are_dealt_by_codes_of_several_features(spark):
+    df, _, _ = rows(spark, 300)
+    bins = FO.quantile_bins(df, "features", FO.BINS)
+    joint = FO.Joint(bins, FO.DEALT_CELLS)
+    columns = np.random.default_rng(0).integers(0, np.diff(bins.first), (50, len(bins.cuts))).T
+    assert len(joint.sizes) == 1 and joint.codes(columns).nbytes == 100  # five features in two bytes a row
+    assert (joint.columns(joint.codes(columns), "<u1") == columns).all()

@@ -59,3 +59,28 @@ def test_training_matrix_is_stored_and_levels_come_from_one_indexer(spark):
     stored = MD.design(df, prep, ["id"])
     assert stored.inputFiles() and stored.count() == 40  # columns apart, in the shared folder
     assert prep.feature_names(df) == ["n", "c__oh_a", "c__oh_b", "d__oh_x", "d__oh_y", "d__oh_z"]
+
+
+def test_both_tree_baselines_take_known_bins(spark, monkeypatch):
+    from wardline.operators import boosting as B
+    from wardline.operators import forests as FO
+    from wardline.plans import model_queries as Q
+
+    df = M.with_weights(planted(spark, 200), "y", M.class_weights(planted(spark, 200), "y"))
+    job = Q.Job.__new__(Q.Job)
+    job.target, job.n_weight = "y", 200.0
+    job.train = MD.fit_features(df, ["x1"], ["kind"]).transform(df).select("id", "y", "weight", F.lit(1.0).alias("pos_w"), "features")
+    job.estimators = lambda: {"random_forest": MD.forest("y", "weight", 2, 3), "boosted_trees": MD.boosted("y", "pos_w", 2, 2)}
+    asked = []
+
+    def counted(df, col, bins=64, *a, f=B.quantile_bins):
+        asked.append(bins)
+        return f(df, col, bins, *a)
+
+    for module in (B, FO, Q):
+        monkeypatch.setattr(module, "quantile_bins", counted)
+    monkeypatch.setattr(Q, "job", lambda *a: job)
+    monkeypatch.setattr(Q, "_inputs", lambda *a: ("test-known-bins", "x"))
+    for name in ("random_forest", "boosted_trees"):
+        assert Q.fitted(spark, "", name) is Q.fitted(spark, "", name)
+    assert asked == [32]
